@@ -1,0 +1 @@
+"""Operators on graphs and fields; each is a plan over vertices, edges and basin tables."""
