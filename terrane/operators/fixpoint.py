@@ -86,3 +86,22 @@ def nearest_source(graph: Graph, sources: DataFrame) -> DataFrame:
         if front.isEmpty():
             return best.select("v", "b.source", "b.dist")
         best = cut(best.union(front).groupBy("v").agg(F.min("b").alias("b")))
+
+
+def nearest(edges: DataFrame, starts: DataFrame, n: int) -> DataFrame:
+    """(ref, v, dist, pred): the n vertices nearest to each start by (distance, vertex), itself included.
+
+    Each round keeps the n best so far. That loses none: a vertex that belongs to the result is reached at its
+    final distance through vertices that belong to it too, and then fewer than n can be nearer.
+    """
+    rank = Window.partitionBy("ref").orderBy("dist", "v")
+    best = cut(starts.select("ref", "v", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")))
+    front = best
+    while True:
+        out = front.join(edges, front.v == edges.src).select("ref", F.col("dst").alias("v"), (F.col("dist") + F.col("len")).alias("dist"), F.col("src").alias("pred"))
+        every = best.withColumn("new", F.lit(False)).union(out.withColumn("new", F.lit(True)))
+        every = every.groupBy("ref", "v").agg(F.min(F.struct("dist", "new", "pred")).alias("b")).select("ref", "v", "b.dist", "b.pred", "b.new")
+        after = cut(every.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= n).drop("rn"))
+        front, best = after.filter("new").drop("new"), after.drop("new")
+        if front.isEmpty():
+            return best
