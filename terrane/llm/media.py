@@ -11,6 +11,8 @@ from .common import fresh_path, open_store, written
 
 #: Bytes of a tar shard before the next is begun.
 _SHARD = 1 << 26
+#: Hash classes of digests, as a power of two, that the bitmap of repeated ones tells apart.
+_CLASSES = 26
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples in a row of an image, and bytes of a PNG file up to the end of its IHDR chunk.
 _WIDTH, _HEAD = 64, 33
@@ -79,76 +81,103 @@ def with_payload(rows: DataFrame, text: str, to: str = "payload") -> DataFrame:
     return rows.withColumn(to, F.rpad(F.col(to), room, F.lit(b"\0")))
 
 
-def store_media(payloads: DataFrame, *, payload: str = "payload", folder: str | None = None) -> DataFrame:
+class _Tar:
+    """Appends images to tar shards of a folder and tells where each one is."""
+
+    def __init__(self, folder: str):
+        self.folder, self.out, self.path, self.size = folder, None, None, 0
+
+    def add(self, key: str, image: bytes) -> tuple[str, int, int]:
+        import uuid
+
+        if self.out is None:
+            self.path, self.size = f"{self.folder}/{uuid.uuid4().hex}.tar", 0
+            store, local = open_store(self.path)
+            store.create_dir(local.rsplit("/", 1)[0], recursive=True)
+            self.out = store.open_output_stream(local, compression=None)
+        for part in (tar_head(f"{key}.png", len(image)), image, bytes(-len(image) % 512)):
+            self.out.write(part)
+        where = self.path, self.size + 512, len(image)
+        self.size += 512 + len(image) + -len(image) % 512
+        if self.size >= _SHARD:
+            self.close()
+        return where
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(bytes(1024))
+            self.out.close()
+            self.out = None
+
+
+def _repeated(digests: DataFrame) -> dict[int, bytes]:
+    """Bitmaps over hash classes of the digests that occur more than once: at most 2**_CLASSES bits, whatever the input."""
+    twice = digests.groupBy("digest").count().filter("count > 1")
+    place = twice.select(F.expr(f"cast(conv(substring(digest, 1, 8), 16, 10) as bigint) >> {32 - _CLASSES}").alias("c"))
+    maps = place.groupBy(F.expr("c >> 15").alias("b")).agg(F.expr("bitmap_construct_agg(c & 32767)").alias("m"))
+    return {r["b"]: bytes(r["m"]) for r in maps.collect()}
+
+
+def store_media(payloads: DataFrame, *, payload: str = "payload", digests: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Write each distinct payload once as an image in tar shards; one row per distinct payload.
 
     Columns: digest (SHA-256 of the payload, lower-case hex, also the member's name), path, offset and length (of
-    the image in its shard). A task first drops the payloads it has seen, so a payload that very many rows share
-    is sent once by each task at most, compressed; the task that gathers its digest writes it. Empty input: no rows.
+    the image in its shard). The digests are counted first (pass them as `digests` if they are at hand); the hash
+    classes of those that repeat make a bitmap of at most 8 MB. A payload outside these classes is alone, and the task
+    that reads it writes it. The others are sent to the task that gathers their digest, compressed, and by
+    each task once at most, however many rows share them. Empty input: no rows.
     """
     spark = payloads.sparkSession
     folder = folder or fresh_path(spark, "media")
+    if digests is None:
+        digests = payloads.select(F.sha2(payload, 256).alias("digest"))
+    repeated = _repeated(digests)
+    kind = "digest string, path string, offset long, length long"
 
     def encode(batches):
         import pyarrow as pa
 
-        seen = set()
+        schema = pa.schema([("digest", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("image", pa.binary())])
+        seen, tar = set(), _Tar(folder)
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
-                out = {"digest": [], "image": []}
+                rows = []
                 for body in batch.column(0).slice(s, 256):
                     data = body.as_py()
-                    key = hashlib.sha256(data).digest()
-                    if key not in seen:
+                    key = hashlib.sha256(data).hexdigest()
+                    c = int(key[:8], 16) >> (32 - _CLASSES)
+                    bits = repeated.get(c >> 15)
+                    if bits is None or not bits[(c & 32767) >> 3] >> (c & 7) & 1:
+                        rows.append((key, *tar.add(key, to_image(data)), None))
+                    elif key not in seen:
                         seen.add(key)
-                        out["digest"].append(key.hex())
-                        out["image"].append(to_image(data))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("digest", pa.string()), ("image", pa.binary())]))
-
-    def write(batches):
-        import uuid
+                        rows.append((key, None, None, None, to_image(data)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+        tar.close()
 
+    def gather(batches):
         import pyarrow as pa
 
-        store, parts, size, rows, seen = None, None, 0, [], set()
         schema = pa.schema([("digest", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-
-        def closed():
-            nonlocal parts, size, rows
-            parts.write(bytes(1024))
-            parts.close()
-            done = pa.RecordBatch.from_pylist(rows, schema=schema)
-            parts, size, rows = None, 0, []
-            return done
-
+        seen, tar = set(), _Tar(folder)
         for batch in batches:
+            rows = []
             for key, image in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if key in seen:
-                    continue
-                seen.add(key)
-                if parts is None:
-                    path = f"{folder}/{uuid.uuid4().hex}.tar"
-                    store, local = open_store(path)
-                    store.create_dir(local.rsplit("/", 1)[0], recursive=True)
-                    parts = store.open_output_stream(local, compression=None)
-                data = image.as_py()
-                parts.write(tar_head(f"{key}.png", len(data)))
-                parts.write(data)
-                parts.write(bytes(-len(data) % 512))
-                rows.append({"digest": key, "path": path, "offset": size + 512, "length": len(data)})
-                size += 512 + len(data) + -len(data) % 512
-                if size >= _SHARD:
-                    yield closed()
-        if parts is not None:
-            yield closed()
-
-    images = payloads.select(F.col(payload)).mapInArrow(encode, "digest string, image binary")
-    return written(images.repartition("digest").mapInArrow(write, "digest string, path string, offset long, length long"), "media")
+                if key not in seen:
+                    seen.add(key)
+                    rows.append(dict(zip(schema.names, (key, *tar.add(key, image.as_py())))))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        tar.close()
+
+    first = written(payloads.select(F.col(payload)).mapInArrow(encode, f"{kind}, image binary"), "images")
+    rest = first.filter("path is null").select("digest", "image").repartition("digest").mapInArrow(gather, kind)
+    return first.filter("path is not null").drop("image").union(written(rest, "media"))
 
 
 def _by_shard(media: DataFrame) -> DataFrame:
     """Rows of a shard in order and near one another, so that reads run forward through few files."""
-    return media.repartition(F.col("path"), F.expr("offset div 8388608")).sortWithinPartitions("path", "offset")
+    n = max(1, int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return media.repartition(n, F.col("path"), F.expr("offset div 2097152")).sortWithinPartitions("path", "offset")
 
 
 def read_heads(media: DataFrame) -> DataFrame:
@@ -212,7 +241,7 @@ def media_columns(rows: DataFrame, *, row_id: str = "doc_id", text: str = "text"
     as compressed images, once per task that has them; rows are joined by digest alone.
     """
     src = rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    media = written(read_features(store_media(with_payload(src, "text").select("payload"), folder=folder)), "features")
     slim = with_payload(src.withColumn("n_bytes", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")), "text")
-    slim = slim.select(F.col("row_id").alias(row_id), "n_bytes", F.sha2("payload", 256).alias("digest"))
-    return slim.join(media, "digest")
+    slim = written(slim.select("row_id", "n_bytes", F.sha2("payload", 256).alias("digest")), "digests")
+    media = store_media(with_payload(src, "text").select("payload"), digests=slim.select("digest"), folder=folder)
+    return slim.join(written(read_features(media), "features"), "digest").withColumnRenamed("row_id", row_id)
