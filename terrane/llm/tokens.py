@@ -25,8 +25,7 @@ _SPLIT = {
     "bytes": r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "words": f"[^{_END}]+{_END}",
 }
-_WORD = re.compile(f"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+)[{_SPACE}]*")
-_LEAD = f"{''.join(map(chr, range(9, 14)))} \x85\xa0"
+_WORDS = re.compile(f"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_NUMBER}]").findall
 
 
 def vocabulary(name: str) -> str:
@@ -74,7 +73,7 @@ def encoder(path: str, style: str):
         if other(text):
             return np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4")
         if style == "words":
-            text = _WORD.sub(rf"\1{_END}", text.lstrip(_LEAD).lower())
+            text = _END.join((*_WORDS(text.lower()), ""))
         return back[merge.encode_to_numpy(text, disallowed_special=())] if text else np.empty(0, "<u4")
 
     return encode

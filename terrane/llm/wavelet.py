@@ -40,7 +40,7 @@ def build(ids, keys, lengths) -> list[bytes]:
     row = ids.astype("<u2" if bits <= 16 else "<u4")
     planes, body, at = [], [], 0
     for b in range(bits - 1, -1, -1):
-        ones = ((row >> b) & 1).astype(bool)
+        ones = (row & row.dtype.type(1 << b)) != 0
         places, before, seen = [], [], 0
         for s in range(0, len(row), _CHUNK):
             part = ones[s : s + _CHUNK]
@@ -51,7 +51,8 @@ def build(ids, keys, lengths) -> list[bytes]:
             at += len(body[-1])
         places.append(at)
         planes.append({"zeros": len(row) - seen, "places": places, "ones_before": before})
-        row = np.concatenate([row[~ones], row[ones]])
+        if b:
+            row = np.concatenate([np.compress(~ones, row), np.compress(ones, row)])
     head = json.dumps({"n": len(ids), "bits": bits, "chunk": _CHUNK, "docs": len(docs), "planes": planes}, separators=(",", ":")).encode()
     return [_MAGIC, len(head).to_bytes(4, "little"), head, docs, *body]
 
