@@ -176,3 +176,48 @@ def longest_run(rows: DataFrame, group: str, order: list[str], flag: str) -> Dat
     runs = r.groupBy(group, "island").agg(F.min("i").alias("start"), F.count("*").alias("length"))
     best = Window.partitionBy(group).orderBy(F.col("length").desc(), "start")
     return runs.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(group, "start", "length")
+
+
+def filter_cells(cells: DataFrame, min_size: int | None = None, max_size: int | None = None, min_paths: int | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Cells (.., size, paths) within bounds of size, number of paths, and type-7 quantiles of size."""
+    out = cells
+    if low is not None or high is not None:
+        q = cells.agg(F.expr(f"percentile(size, {low or 0.0}D)").alias("__lo"), F.expr(f"percentile(size, {1.0 if high is None else high}D)").alias("__hi"))
+        out = out.crossJoin(F.broadcast(q)).filter("size >= __lo and size <= __hi").drop("__lo", "__hi")
+    for bound, test in ((min_size, "size >= {}"), (max_size, "size <= {}"), (min_paths, "paths >= {}")):
+        if bound is not None:
+            out = out.filter(test.format(int(bound)))
+    return out
+
+
+def short_labels(profiles: DataFrame, least: float) -> DataFrame:
+    """(v, label): initials of the first two words of each feature at or above `least` (of the top one if none), top first.
+
+    profiles: (v, rank, feature, value). Labels that coincide grow by the next feature's initials until they differ or run out.
+    """
+    word = lambda k: F.substring(F.coalesce(F.get(F.split("feature", "_"), F.lit(k)), F.lit("")), 1, 1)
+    p = profiles.withColumn("s", F.concat(word(0), word(1)))
+    listed = p.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("all"), F.greatest(F.sum((F.col("value") >= least).cast("int")), F.lit(1)).alias("n"))
+    at = listed.select("v", F.transform("all", lambda x: x["s"]).alias("all"), "n")
+    most = at.agg(F.max(F.size("all"))).first()[0] or 0
+    for _ in range(most):
+        label = F.concat_ws("", F.slice("all", F.lit(1), F.col("n")))
+        at = at.withColumn("label", label).withColumn("same", F.count("*").over(Window.partitionBy("label")))
+        at = at.select("v", "all", F.when((F.col("same") > 1) & (F.col("n") < F.size("all")), F.col("n") + 1).otherwise(F.col("n")).alias("n"))
+    return at.select("v", F.concat_ws("", F.slice("all", F.lit(1), F.col("n"))).alias("label"))
+
+
+def extremality_summary(graph: Graph, field: DataFrame, scores: DataFrame, top: float = 0.95, least_degree: float = 0.1) -> DataFrame:
+    """(v, type, label, y, score, degree): vertices whose score (v, maxp, minp) is in the top share and whose degree is not in the lowest."""
+    d = degrees(graph).select("v", "degree")
+    q = scores.join(d, "v").agg(F.expr(f"percentile(maxp, {top}D)").alias("qa"), F.expr(f"percentile(minp, {top}D)").alias("qi"), F.expr(f"percentile(degree, {least_degree}D)").alias("qd"))
+    j = scores.join(d, "v").join(field, "v").crossJoin(F.broadcast(q)).filter("degree >= qd")
+    hi = j.filter("maxp >= qa").select("v", F.lit("max").alias("type"), "y", F.col("maxp").alias("score"), "degree")
+    out = hi.union(j.filter("minp >= qi").select("v", F.lit("min").alias("type"), "y", F.col("minp").alias("score"), "degree"))
+    by = Window.partitionBy("type").orderBy(F.when(F.col("type") == "max", -F.col("y")).otherwise(F.col("y")), "v")
+    return out.withColumn("label", F.concat(F.when(F.col("type") == "max", "M").otherwise("m"), F.row_number().over(by).cast("string"))).select("v", "type", "label", "y", "score", "degree")
+
+
+def refinement_report(stages: list[dict]) -> str:
+    """A line of text for each stage of a refinement."""
+    return "\n".join(f"{s['stage']}: {s['before']} basins before, {s['after']} after" for s in stages)

@@ -167,3 +167,19 @@ def layout(basins: DataFrame) -> DataFrame:
             break
         out = cut(out.union(paths))
     return out.withColumn("x", F.row_number().over(Window.orderBy("path"))).join(basins, "basin").select("basin", "x", "birth", "death", "parent")
+
+
+def dendrogram(events: DataFrame, up: bool = True) -> DataFrame:
+    """(step, left, right, height): merges in order; a cluster is its number of step, a basin not merged before its id, negated.
+
+    Height is the drop from the highest merge level, so it grows.
+    """
+    order = Window.orderBy((-F.col("level") if up else F.col("level")), "plateau", "losing")
+    e = cut(events.withColumn("step", F.row_number().over(order)).withColumn("top", F.max("level").over(Window.partitionBy()) if up else F.min("level").over(Window.partitionBy())))
+    joins = e.select(F.col("surviving").alias("s"), F.col("step").alias("at")).union(e.select("losing", F.lit(None).cast("int")))
+    last = lambda c: F.max("at").alias(c)
+    out = e
+    for side, c in (("surviving", "left"), ("losing", "right")):
+        before = e.select("step", F.col(side).alias("s")).join(joins.filter("at is not null"), "s").filter("at < step").groupBy("step").agg(last("b"))
+        out = out.join(before, "step", "left").withColumn(c, F.coalesce(F.col("b").cast("long"), -F.col(side))).drop("b")
+    return out.select("step", "left", "right", F.abs(F.col("top") - F.col("level")).alias("height"))

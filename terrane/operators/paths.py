@@ -66,11 +66,14 @@ def tube_lens(graph: Graph, start: int, end: int, relative_radius: float = 0.1,
     return c.join(h, "v", "left").select("v", "on_path", "t", F.col("value").alias("t_harmonic"), "dist", "excess", tol.alias("in_excess"))
 
 
-def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-10, rounds: int = 100_000) -> DataFrame:
-    """(v, value): region (v, value) with its null values replaced by the mean of neighbours in the region, weighted by 1 / length.
-
-    Values given stay. A part of the region without any given value stays null. Each connected part of the region is solved in
-    one task, as a linear system if it is small and by sweeps to the tolerance otherwise.
+def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-10, rounds: int = 100_000, method: str = "harmonic") -> DataFrame:
+    """(v, value): region (v, value) with its null values replaced by an extension of those given, which stay.
+
+    `harmonic`: each is the mean of its neighbours in the region, weighted by 1 / length. `biharmonic`: the square of that operator
+    vanishes instead, which bends less at the given values. `weighted_mean`: rounds that give a vertex the weighted mean of the
+    neighbours that have a value by then, ring by ring. `boundary_smoothed`: harmonic, then one such mean over the vertices next
+    to given ones. A part of the region without any given value stays null. Each connected part of the region is
+    solved in one task, as a linear system if it is small and by sweeps to the tolerance otherwise (biharmonic always as a system).
     """
     ids = region.select("v")
     e = graph.edges.join(ids.withColumnRenamed("v", "src"), "src", "left_semi").join(ids.withColumnRenamed("v", "dst"), "dst", "left_semi")
@@ -98,7 +101,23 @@ def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-10
             total = np.bincount(a, w, len(ids))
             from_fixed = np.bincount(a, np.where(free[b], 0.0, w * np.nan_to_num(value[b])), len(ids))
             inner = free[a] & free[b]
-            if n <= 1500:
+            if method == "weighted_mean":
+                while free.any():
+                    told = ~free[b] & free[a]
+                    weight = np.bincount(a[told], w[told], len(ids))
+                    sums = np.bincount(a[told], w[told] * value[b[told]], len(ids))
+                    reached = free & (weight > 0)
+                    if not reached.any():
+                        break
+                    value[reached] = sums[reached] / weight[reached]
+                    free = free & ~reached
+            elif method == "biharmonic":
+                m = np.zeros((len(ids), len(ids)))
+                np.add.at(m, (a, b), -w / np.maximum(total[a], 1e-300))
+                m[np.arange(len(ids)), np.arange(len(ids))] += 1.0
+                m = m @ m
+                value[free] = np.linalg.lstsq(m[np.ix_(free, free)], -m[np.ix_(free, ~free)] @ value[~free], rcond=None)[0]
+            elif n <= 1500:
                 m = np.zeros((n, n))
                 m[np.arange(n), np.arange(n)] = total[free]
                 np.subtract.at(m, (place[a[inner]], place[b[inner]]), w[inner])
@@ -113,6 +132,11 @@ def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-10
                     if step < tolerance:
                         break
                 value = x
+            if method == "boundary_smoothed":
+                edge = np.zeros(len(ids), bool)
+                edge[a[free[a] & ~free[b]]] = True
+                mean = np.bincount(a, w * value[b], len(ids)) / np.maximum(total, 1e-300)
+                value[edge] = 0.5 * value[edge] + 0.5 * mean[edge]
         return pa.table({"v": pa.array(ids, pa.int64()), "value": pa.array(value, pa.float64(), mask=np.isnan(value))})
 
     return rows.join(part, "v").groupBy("component").applyInArrow(lambda t: solve(t.drop_columns(["component"])), "v long, value double")
@@ -277,3 +301,53 @@ def spurious_tree(root: int, kind: str, basins: DataFrame, spurious: DataFrame,
         if front.isEmpty():
             return out
         out = cut(out.union(front))
+
+
+def smooth_spurious(graph: Graph, field: DataFrame, threshold: int = 2, method: str = "harmonic", rounds: int = 5, most: int = 32) -> tuple[DataFrame, list[dict]]:
+    """(field, log): a field without extrema of hop index up to a threshold, as far as rounds of smoothing go.
+
+    A round lets go of the values within (not at) the hop index of every such extremum and extends the others into the gap.
+    The log has for each round the number of such extrema before it.
+    """
+    from .extrema import extrema_table, hop_index, hop_neighbourhoods
+
+    log = []
+    for k in range(rounds):
+        low = cut(hop_index(graph, field, extrema_table(graph, field), most).filter(F.col("hop_idx") <= threshold))
+        log.append({"round": k, "spurious": low.count()})
+        if not log[-1]["spurious"]:
+            break
+        inner = hop_neighbourhoods(graph, low).filter("not boundary").select("v").distinct().withColumn("gap", F.lit(True))
+        region = field.join(inner, "v", "left").select("v", F.when(F.col("gap").isNull(), F.col("y")).alias("value"))
+        new = harmonic_extension(graph, region, method=method)
+        field = cut(new.join(field, "v").select("v", F.coalesce("value", "y").alias("y")))
+    return field, log
+
+
+def constrained_flow(graph: Graph, core: Graph, field: DataFrame, reach: float) -> DataFrame:
+    """(v, next): the best strict gain among vertices that a shortest path in the core graph of length up to `reach` leads to
+    with values that never fall; ties to the nearer, then the smaller vertex."""
+    up = monotone_edges(core, field)
+    starts = graph.vertices.select(F.col("v").alias("ref"), "v")
+    whole = distances(core.edges, starts, reach=reach).select("ref", "v", "dist")
+    rising = distances(up, starts, reach=reach).select("ref", "v", F.col("dist").alias("rise"))
+    ok = whole.join(rising, ["ref", "v"]).filter("ref <> v and rise <= dist + 1e-12").join(field, "v")
+    best = ok.groupBy(F.col("ref").alias("v")).agg(F.min(F.struct((-F.col("y")).alias("s"), "dist", "v")).alias("b"))
+    return graph.vertices.join(best, "v", "left").select("v", F.col("b.v").alias("next"))
+
+
+def scale_flow(graph: Graph, field: DataFrame, scale: float, up: bool = True) -> DataFrame:
+    """(v, next): the vertex of best value within a distance `scale` if it improves on v's own, ties to the nearer, then smaller."""
+    starts = graph.vertices.select(F.col("v").alias("ref"), "v")
+    near = distances(graph.edges, starts, reach=scale).join(field, "v").join(field.select(F.col("v").alias("ref"), F.col("y").alias("own")), "ref")
+    gain = F.col("y") - F.col("own") if up else F.col("own") - F.col("y")
+    best = near.filter(gain > 0).groupBy(F.col("ref").alias("v")).agg(F.min(F.struct((-gain).alias("s"), "dist", "v")).alias("b"))
+    return graph.vertices.join(best, "v", "left").select("v", F.col("b.v").alias("next"))
+
+
+def cell_path(up: DataFrame, down: DataFrame, v: int) -> DataFrame:
+    """(position, v): the walk from a minimum through v to a maximum along next-vertex tables (v, next)."""
+    seed = up.filter(F.col("v") == v).select("v")
+    rise, fall = trajectories(up, seed), trajectories(down, seed)
+    whole = rise.withColumnRenamed("path", "p").join(fall, "seed").select(F.concat(F.reverse("path"), F.expr("slice(p, 2, size(p))")).alias("path"))
+    return whole.select(F.posexplode("path").alias("position", "v"))

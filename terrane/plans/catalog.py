@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import scalars
+from ..functions import scalars, stats
 from ..graph import degrees, from_edges
 from ..operators import association as A, basins as B, extrema as X, flow as W, grid as G, merge_tree as M, paths as P
 from ..operators.fixpoint import hops, roots
+from ..operators.tolerant import tolerant_basins
 from ..sources import graphs
 from . import inputs as I
+from .basin_complex import basin_complex
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -948,6 +950,155 @@ def diversity(spark, sf_dir):
     return _rounded(a.select("o_custkey", scalars.entropy("ns").alias("entropy"), scalars.evenness("ns").alias("evenness"), F.array_max(scalars.centred_log_ratio("ns")).alias("top_clr")))
 
 
+# Statistics
+
+
+@_register(
+    _path(
+        """SELECT n, round((n00 + n11) / n, 9) + 0.0 AS concordance, round(chi, 7) + 0.0 AS chi_sq, round(sqrt(chi / n), 9) + 0.0 AS cramer_v, round(n00 * n11 / (n01 * n10), 9) + 0.0 AS odds_ratio FROM (
+SELECT *, pow(abs(n00 - e00) - fx, 2) / e00 + pow(abs(n01 - e01) - fx, 2) / e01 + pow(abs(n10 - e10) - fx, 2) / e10 + pow(abs(n11 - e11) - fx, 2) / e11 AS chi FROM (
+SELECT *, least(0.5, abs(n00 - e00), abs(n01 - e01), abs(n10 - e10), abs(n11 - e11)) AS fx FROM (
+SELECT *, n00 + n01 + n10 + n11 AS n, (n00 + n01) * (n00 + n10) / (n00 + n01 + n10 + n11) AS e00, (n00 + n01) * (n01 + n11) / (n00 + n01 + n10 + n11) AS e01, (n10 + n11) * (n00 + n10) / (n00 + n01 + n10 + n11) AS e10, (n10 + n11) * (n01 + n11) / (n00 + n01 + n10 + n11) AS e11 FROM (
+SELECT count(*) FILTER (yd <= ys AND zd <= zs)::DOUBLE AS n00, count(*) FILTER (yd <= ys AND zd > zs)::DOUBLE AS n01, count(*) FILTER (yd > ys AND zd <= zs)::DOUBLE AS n10, count(*) FILTER (yd > ys AND zd > zs)::DOUBLE AS n11 FROM ev WHERE src < dst))))"""
+    )
+)
+def concordance_test(spark, sf_dir):
+    d = A.lcor_matrix(I.orders_path(spark, sf_dir), I.price(spark, sf_dir), A.one_feature(I.residue(spark, sf_dir)), kind="unit", edges=True)
+    out = stats.concordance_test(d.filter("src < dst"))
+    return _rounded(out.withColumn("chi_sq", F.round("chi_sq", 7)))
+
+
+@_register(
+    """WITH p AS (SELECT c_acctbal AS x, count(*) FILTER (c_mktsegment = 'BUILDING')::DOUBLE AS a, count(*) FILTER (c_mktsegment = 'MACHINERY')::DOUBLE AS b FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_acctbal),
+q AS (SELECT x, abs(sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER ()) AS d, lead(x) OVER (ORDER BY x) - x AS w FROM p) SELECT round(coalesce(sum(d * w), 0.0), 6) + 0.0 AS distance FROM q"""
+)
+def wasserstein_distance(spark, sf_dir):
+    return _rounded(stats.wasserstein(I.table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY"), 6)
+
+
+@_register(
+    "SELECT c_mktsegment, k, n, round((k + 1.0::DOUBLE) / (n + 2), 9) + 0.0 AS post_mean, round(sqrt((k + 1.0::DOUBLE) * (n - k + 1) / (pow(n + 2.0::DOUBLE, 2) * (n + 3))), 9) + 0.0 AS post_sd FROM (SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0) AS k, count(*) AS n FROM customer GROUP BY c_mktsegment)"
+)
+def beta_binomial(spark, sf_dir):
+    c = I.table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.sum((F.col("c_acctbal") > 0).cast("long")).alias("k"), F.count("*").alias("n"))
+    return _rounded(stats.beta_binomial(c).drop("post_a", "post_b"))
+
+
+@_register("SELECT p_partkey, round(avg(p_retailprice) OVER (ORDER BY p_partkey ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) + 0.0 AS running_mean FROM part")
+def running_mean(spark, sf_dir):
+    return _rounded(stats.running_mean(I.table(spark, sf_dir, "part"), "p_partkey", "p_retailprice", 5).select("p_partkey", "running_mean"), 6)
+
+
+@_register()
+def bootstrap_means(spark, sf_dir):
+    return _rounded(stats.bootstrap_means(I.component(spark, sf_dir, 0), "y", 50))
+
+
+# Compositions
+
+
+@_register(
+    _knn(
+        f"""SELECT v, type, CASE type WHEN 'max' THEN 'M' ELSE 'm' END || row_number() OVER (PARTITION BY type ORDER BY CASE type WHEN 'max' THEN -y ELSE y END, v) AS label, {_r('y')} AS y, {_r('score')} AS score, degree FROM (
+SELECT v, 'max' AS type, maxp AS score, y, degree FROM sc, qs JOIN fy USING (v) WHERE maxp >= qa AND degree >= qd UNION ALL SELECT v, 'min', minp, y, degree FROM sc, qs JOIN fy USING (v) WHERE minp >= qi AND degree >= qd)""".replace("FROM sc, qs JOIN fy USING (v)", "FROM sc JOIN fy USING (v), qs"),
+        """,
+sc AS MATERIALIZED (SELECT src AS v, avg((yd < ys)::INT) AS maxp, avg((yd > ys)::INT) AS minp, count(*) AS degree FROM ev GROUP BY src),
+qs AS (SELECT quantile_cont(maxp, 0.95) AS qa, quantile_cont(minp, 0.95) AS qi, quantile_cont(degree, 0.1) AS qd FROM sc)""",
+    )
+)
+def extremality_summary(spark, sf_dir):
+    g, y = I.knn(spark, sf_dir), I.component(spark, sf_dir, 0)
+    return _rounded(B.extremality_summary(g, y, X.neighbour_share(g, y)))
+
+
+@_register(
+    _knn(
+        "SELECT max_id, min_id, size FROM c, (SELECT quantile_cont(size, 0.5) AS q FROM c) WHERE size >= q AND size <= 40",
+        _SPREAD + ",\nc AS MATERIALIZED (SELECT a.extremum AS max_id, b.extremum AS min_id, count(DISTINCT v) AS size FROM spread a JOIN spread b USING (v) WHERE a.direction = 'max' AND b.direction = 'min' GROUP BY ALL)",
+        True,
+    )
+)
+def filter_cells(spark, sf_dir):
+    return B.filter_cells(B.flow_cells(_basins(spark, sf_dir)[2]), max_size=40, low=0.5)
+
+
+@_register(
+    _knn(
+        "SELECT v, arg_min(dst, (-gain, dst)) AS next FROM vertices LEFT JOIN (SELECT src, dst, yd - ys AS gain FROM ev WHERE yd > ys AND len <= 10.0) ON src = v GROUP BY v".replace("arg_min(dst, (-gain, dst))", "first(dst ORDER BY gain DESC, dst)")
+    )
+)
+def bounded_steps(spark, sf_dir):
+    from ..graph import Graph
+
+    g = I.knn(spark, sf_dir)
+    return W.next_vertex(Graph(g.vertices, g.edges.filter("len <= 10")), I.component(spark, sf_dir, 0), True, "none", 1.0).select("v", "next")
+
+
+@_register()
+def scale_flow(spark, sf_dir):
+    return P.scale_flow(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), 12.0)
+
+
+@_register()
+def constrained_flow(spark, sf_dir):
+    g = I.knn(spark, sf_dir)
+    return P.constrained_flow(g, g, I.component(spark, sf_dir, 0), 20.0)
+
+
+@_register()
+def smoothed_field(spark, sf_dir):
+    return _rounded(P.smooth_spurious(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), 2, rounds=1)[0], 6)
+
+
+@_register()
+def biharmonic_extension(spark, sf_dir):
+    y = I.component(spark, sf_dir, 0)
+    return _rounded(P.harmonic_extension(I.knn(spark, sf_dir), y.select("v", F.when(F.col("v") % 4 == 0, F.col("y")).alias("value")), method="biharmonic"), 5)
+
+
+@_register()
+def weighted_mean_extension(spark, sf_dir):
+    y = I.component(spark, sf_dir, 0)
+    return _rounded(P.harmonic_extension(I.knn(spark, sf_dir), y.select("v", F.when(F.col("v") % 4 == 0, F.col("y")).alias("value")), method="weighted_mean"), 7)
+
+
+@_register()
+def tolerant_search(spark, sf_dir):
+    g, y = I.knn(spark, sf_dir), I.component(spark, sf_dir, 0)
+    return tolerant_basins(g, y, X.extrema_table(g, y))
+
+
+@_register()
+def dendrogram(spark, sf_dir):
+    return _rounded(M.dendrogram(M.merge_tree(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0))[0]))
+
+
+@_register()
+def spurious_tree(spark, sf_dir):
+    g, y, m, _ = _basins(spark, sf_dir)
+    e = X.extrema_table(g, y)
+    low = X.classify_spurious(X.hop_index(g, y, e, 8), "threshold", 2).filter("spurious").select("v", "type")
+    root = low.orderBy("v").first()
+    b = m.select(F.col("extremum"), F.col("direction").alias("type"), "v")
+    return P.spurious_tree(root["v"] if root else 0, root["type"] if root else "max", b, low, e)
+
+
+@_register()
+def complex_tables(spark, sf_dir):
+    return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "superlevel_merge_tree", "max", stages={"support": 3}, check=False).basins)
+
+
+@_register()
+def complex_membership(spark, sf_dir):
+    return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "trajectory_flow", check=False).membership)
+
+
+@_register()
+def feature_labels(spark, sf_dir):
+    f = I.features(spark, sf_dir, range(12)).withColumn("feature", F.concat(F.substring("feature", 2, 2), F.lit("_"), F.col("feature")))
+    return B.short_labels(B.profile(f, 5), 1.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
