@@ -9,20 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, read from the session.
+    """The folder that the cluster names in spark.checkpoint.dir, read from the session, with its file system.
 
     Only where it is unset (tests, a laptop) a fresh temporary folder is made and set.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        current = sc.getCheckpointDir()
-        if current is not None:
-            return current
-        named = "file://" + tempfile.mkdtemp(prefix="shared-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
-    return named
+    path = sc._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:

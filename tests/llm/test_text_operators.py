@@ -324,7 +324,7 @@ def test_tar_shards_hold_each_payload_once(docs, rows):
     heads = {r.digest: (r.width, r.height) for r in media.read_heads(stored).collect()}
     names = []
     for path in {r.path for r in stored.collect()}:
-        with tarfile.open(path.removeprefix("file://")) as t:
+        with tarfile.open(path.removeprefix("file:")) as t:
             for m in t.getmembers():
                 data = media.samples(t.extractfile(m).read())
                 assert m.name == hashlib.sha256(data).hexdigest() + ".png"
