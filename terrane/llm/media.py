@@ -244,4 +244,4 @@ def media_columns(rows: DataFrame, *, row_id: str = "doc_id", text: str = "text"
     slim = with_payload(src.withColumn("n_bytes", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")), "text")
     slim = written(slim.select("row_id", "n_bytes", F.sha2("payload", 256).alias("digest")), "digests")
     media = store_media(with_payload(src, "text").select("payload"), digests=slim.select("digest"), folder=folder)
-    return slim.join(written(read_features(media), "features"), "digest").withColumnRenamed("row_id", row_id)
+    return slim.join(read_features(media), "digest").withColumnRenamed("row_id", row_id)
