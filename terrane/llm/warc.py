@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import fresh_path, open_store, write_bytes, written
 
-_GZIP = b"\x1f\x8b\x08"
+_GZIP, _HEAD = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of an archive before the next is begun, of a reader's range, and of a read.
 _FILE, _RANGE, _READ = 1 << 26, 1 << 23, 1 << 18
 
@@ -108,22 +108,25 @@ class _Window:
 def _member(window: _Window, at: int):
     """(bytes, end) of the gzip member at a place, or None if it is not one that holds a WARC record and is followed by
     another member or the end of the file."""
-    unpack, out, place = zlib.decompressobj(31), [], at
+    unpack, out, place, known = zlib.decompressobj(31), bytearray(), at, False
     try:
         while not unpack.eof:
             raw = window.get(place, _READ)
             if not raw:
                 return None
-            out.append(unpack.decompress(raw))
+            out += unpack.decompress(raw)
             place += len(raw)
-            if len(out) == 1 and not out[0].startswith(b"WARC/1."):
-                return None
+            # The read may end anywhere, so there may be too little yet to tell what the member holds.
+            if not known and (len(out) >= len(_HEAD) or unpack.eof):
+                if not out.startswith(_HEAD):
+                    return None
+                known = True
     except zlib.error:
         return None
     end = place - len(unpack.unused_data)
     if end < window.size and window.get(end, 3, 3) != _GZIP:
         return None
-    return b"".join(out), end
+    return bytes(out), end
 
 
 def _parsed(data: bytes) -> dict:
