@@ -66,7 +66,8 @@ def pack_documents(docs: DataFrame, vocab_path: str, *, doc_id: str = "doc_id",
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, fill (of its sequence).
 
     Each task encodes its whole documents and packs their pieces by best fit; bins at least nearly_full are
-    final, the others go up a tree of fan_in, in which each node packs its underfull bins as items again.
+    final, the others go up a tree of fan_in, in which each node packs its underfull bins as items again, or their
+    pieces where that leaves fewer bins.
     Only piece descriptions move between tasks, never texts or ids. Null text counts as empty (one piece with
     the end id); a null doc_id stays null; repeated rows are packed as often as they occur; no rows, no pieces.
     """
@@ -121,9 +122,13 @@ def pack_documents(docs: DataFrame, vocab_path: str, *, doc_id: str = "doc_id",
 
         got = sorted(table.to_pylist(), key=lambda r: (-r["fill"], r["sequence_id"]))
         out = {k: [] for k in ("node", "done", "sequence_id", "fill", "members")}
-        made = []
-        for b in best_fit([r["fill"] for r in got], capacity):
-            made.append((sum(got[i]["fill"] for i in b), min(got[i]["sequence_id"] for i in b), _merged([got[i]["members"] for i in b])))
+        whole = [[r["members"] for r in (got[i] for i in b)] for b in best_fit([r["fill"] for r in got], capacity)]
+        pieces = [m | {"offset": 0} for r in got for m in r["members"]]
+        apart = best_fit([m["length"] for m in pieces], capacity)
+        # Bins are items; where taking them apart leaves fewer bins, their pieces are.
+        packed = whole if len(whole) <= len(apart) else [[[pieces[i]] for i in b] for b in apart]
+        numbers = sorted(r["sequence_id"] for r in got)
+        made = [(sum(m["length"] for part in parts for m in part), number, _merged(parts)) for number, parts in zip(numbers, packed)]
         made.sort(key=lambda x: (x[0], x[1]))
         for k, (fill, number, members) in enumerate(made):
             out["node"].append(got[0]["node"])
