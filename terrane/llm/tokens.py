@@ -12,6 +12,7 @@ import functools
 import json
 import re
 import unicodedata
+from array import array
 
 #: The byte that ends a word in the ranks of a word-end vocabulary; a text that holds it takes the plain way.
 _END = "\x01"
@@ -20,12 +21,29 @@ _LETTER = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBER = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _SPACE = "\t-\r \x85\xa0"
 _OTHER = {"bytes": re.compile("[^\x00-ſ]"), "words": re.compile("[^\x00\x02-įı-ſ]")}
-#: The patterns by which the two public vocabularies split a text.
-_SPLIT = {
-    "bytes": r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    "words": f"[^{_END}]+{_END}",
+#: The patterns by which the two public vocabularies split a text, for these characters.
+_PIECES = {
+    "bytes": re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall,
+    "words": re.compile(f"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_NUMBER}]").findall,
 }
-_WORDS = re.compile(f"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_NUMBER}]").findall
+
+
+class _Known(dict):
+    """Ids, as bytes, of the pieces met so far: words repeat. Beyond MOST pieces it starts anew; LONGEST characters are held."""
+
+    MOST, LONGEST = 300_000, 48
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece):
+        ids = self.encode(piece)
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 def vocabulary(name: str) -> str:
@@ -65,15 +83,14 @@ def encoder(path: str, style: str):
     # A word's last byte takes its end mark before anything else merges; then the vocabulary's order.
     order = sorted(ids, key=lambda t: (not (len(t) == 2 and t[1:] == _END.encode() and style == "words"), ids[t]))
     ranks = {t: k for k, t in enumerate(order)}
-    back = np.array([ids[t] for t in order], "<u4")
-    merge = tiktoken.Encoding("own", pat_str=_SPLIT[style], mergeable_ranks=ranks, special_tokens={})
-    other = _OTHER[style].search
+    back = [ids[t] for t in order]
+    merge = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+    other, pieces, end = _OTHER[style].search, _PIECES[style], _END if style == "words" else ""
+    known = _Known(lambda piece: array("I", map(back.__getitem__, merge._encode_single_piece(piece + end))).tobytes())
 
     def encode(text: str):
         if other(text):
             return np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4")
-        if style == "words":
-            text = _END.join((*_WORDS(text.lower()), ""))
-        return back[merge.encode_to_numpy(text, disallowed_special=())] if text else np.empty(0, "<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces(text.lower() if end else text))), "<u4")
 
     return encode
