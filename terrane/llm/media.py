@@ -111,9 +111,9 @@ class _Tar:
 
 
 def _repeated(digests: DataFrame) -> dict[int, bytes]:
-    """Bitmaps over hash classes of the digests that occur more than once: at most 2**_CLASSES bits, whatever the input."""
+    """Bitmaps over hash classes of the digests (as bytes) that occur more than once: at most 2**_CLASSES bits, whatever the input."""
     twice = digests.groupBy("digest").count().filter("count > 1")
-    place = twice.select(F.expr(f"cast(conv(substring(digest, 1, 8), 16, 10) as bigint) >> {32 - _CLASSES}").alias("c"))
+    place = twice.select(F.expr(f"cast(conv(hex(substring(digest, 1, 4)), 16, 10) as bigint) >> {32 - _CLASSES}").alias("c"))
     maps = place.groupBy(F.expr("c >> 15").alias("b")).agg(F.expr("bitmap_construct_agg(c & 32767)").alias("m"))
     return {r["b"]: bytes(r["m"]) for r in maps.collect()}
 
@@ -122,7 +122,7 @@ def store_media(payloads: DataFrame, *, payload: str = "payload", digests: DataF
     """Write each distinct payload once as an image in tar shards; one row per distinct payload.
 
     Columns: digest (SHA-256 of the payload, lower-case hex, also the member's name), path, offset and length (of
-    the image in its shard). The digests are counted first (pass them as `digests` if they are at hand); the hash
+    the image in its shard). The digests are counted first (pass them as `digests`, bytes, if they are at hand); the hash
     classes of those that repeat make a bitmap of at most 8 MB. A payload outside these classes is alone, and the task
     that reads it writes it. The others are sent to the task that gathers their digest, compressed, and by
     each task once at most, however many rows share them. Empty input: no rows.
@@ -130,7 +130,7 @@ def store_media(payloads: DataFrame, *, payload: str = "payload", digests: DataF
     spark = payloads.sparkSession
     folder = folder or fresh_path(spark, "media")
     if digests is None:
-        digests = payloads.select(F.sha2(payload, 256).alias("digest"))
+        digests = payloads.select(F.unhex(F.sha2(payload, 256)).alias("digest"))
     repeated = _repeated(digests)
     kind = "digest string, path string, offset long, length long"
 
@@ -242,6 +242,11 @@ def media_columns(rows: DataFrame, *, row_id: str = "doc_id", text: str = "text"
     """
     src = rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
     slim = with_payload(src.withColumn("n_bytes", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")), "text")
-    slim = written(slim.select("row_id", "n_bytes", F.sha2("payload", 256).alias("digest")), "digests")
+    # Digests are stored and moved as bytes, half as long as their hex form.
+    slim = written(slim.select("row_id", "n_bytes", F.unhex(F.sha2("payload", 256)).alias("digest")), "digests")
     media = store_media(with_payload(src, "text").select("payload"), digests=slim.select("digest"), folder=folder)
-    return slim.join(read_features(media), "digest").withColumnRenamed("row_id", row_id)
+    sums = ("digest", "payload_sha256", "media_sha256")
+    got = read_features(media)
+    got = got.select(*(F.unhex(c).alias(c) if c in sums else F.col(c) for c in got.columns))
+    out = slim.join(got, "digest").withColumnRenamed("row_id", row_id)
+    return out.select(*(F.lower(F.hex(c)).alias(c) if c in sums else F.col(c) for c in out.columns))
