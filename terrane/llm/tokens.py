@@ -31,7 +31,7 @@ _PIECES = {
 class _Known(dict):
     """Ids, as bytes, of the pieces met so far: words repeat. Beyond MOST pieces it starts anew; LONGEST characters are held."""
 
-    MOST, LONGEST = 300_000, 48
+    MOST, LONGEST = 150_000, 48
 
     def __init__(self, encode):
         super().__init__()
