@@ -48,16 +48,6 @@ class _Bomb(Exception):
     pass
 
 
-class _Same:
-    """The span map of a layer all of whose characters came from one span."""
-
-    def __init__(self, span):
-        self.span = span
-
-    def __getitem__(self, _):
-        return self.span
-
-
 def _expanded(data: bytes) -> bytes | None:
     """What a compressed layer holds, or None if it isn't one."""
     ways = ((b"\x1f\x8b\x08", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor), (b"x", zlib.decompressobj))
@@ -133,58 +123,86 @@ def _escape(token: str) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def layers(text: str):
-    """(layer, spans) for each text that decoding reaches, breadth first; spans maps each character to the outermost text.
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _unescaped(now: str, at):
+    """What a layer is with its URL escapes and with its Unicode escapes decoded, each with its span map."""
+    for pattern, decode, signs in ((_PERCENT, _percent, ("%",)), (_ESCAPE, _escape, ("\\", "&#"))):
+        got = _replaced(now, at, pattern, decode) if any(x in now for x in signs) else None
+        if got:
+            yield got
+
+
+def _encoded(now: str):
+    """(start, end, layer) for each base64 run of a layer; the layer is None if it expands too far."""
+    for m in _BASE64.finditer(now):
+        data = _from_base64(m.group())
+        if data is None:
+            continue
+        try:
+            while (more := _expanded(data)) is not None:
+                data = more
+        except _Bomb:
+            yield m.start(), m.end(), None
+            continue
+        inner = _plain(data)
+        if inner is not None:
+            yield m.start(), m.end(), inner
+
 
-    A worklist unwraps URL escapes, Unicode escapes (backslash and numeric character references), base64 and compressed
-    data of each layer until nothing new comes up. A layer seen before is not unwrapped again, so cycles end;
-    every step but a replacement of escapes shortens the text, and so does that, so the work is finite.
+def _kinds_within(layer: str | None, known: dict) -> set:
+    """The kinds of secrets in a decoded layer and in all that is encoded in it.
+
+    A worklist unwraps a layer until nothing new comes up; one met before is not unwrapped again, so cycles end. All of it
+    has one place in the text, so kinds are enough to know, and known keeps them for the next place of the same layer.
     """
-    work, seen = [(text, None)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    while work:
-        now, at = work.pop(0)
-        found = []
-        for pattern, decode, sign in ((_PERCENT, _percent, "%"), (_ESCAPE, _escape, None)):
-            if sign is None and "\\" not in now and "&#" not in now or sign and sign not in now:
-                continue
-            got = _replaced(now, at, pattern, decode)
-            if got:
-                found.append(got)
-        for m in _BASE64.finditer(now):
-            data = _from_base64(m.group())
-            if data is None:
-                continue
-            whole = (m.start(), m.end()) if at is None else (at[m.start()][0], at[m.end() - 1][1])
-            try:
-                while (more := _expanded(data)) is not None:
-                    data = more
-            except _Bomb:
-                yield None, [whole]
-                continue
-            inner = _plain(data)
-            if inner is not None:
-                found.append((inner, _Same(whole)))
-        for inner, spans in found:
-            key = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest()
-            if key not in seen:
-                seen.add(key)
-                work.append((inner, spans))
-                yield inner, spans
+    if layer is None:
+        return {"bomb"}
+    key = _digest(layer)
+    if key not in known:
+        kinds, work, seen = set(), [layer], {key}
+        while work:
+            now = work.pop()
+            kinds.update(k for _, k, _ in base_spans(now))
+            for inner in (*(x for x, _ in _unescaped(now, None)), *(x for _, _, x in _encoded(now))):
+                if inner is None:
+                    kinds.add("bomb")
+                elif (d := _digest(inner)) not in seen:
+                    seen.add(d)
+                    work.append(inner)
+        known[key] = kinds
+    return known[key]
 
 
 def spans_of(text: str) -> tuple[list, list]:
     """(base, all) spans of a text, each sorted by start, kind as listed, end. Those found in a decoded layer have the
-    kind and the place in the text of what they were decoded from."""
+    kind and the place in the text of what they were decoded from, once for each place where that stands.
+
+    URL escapes and Unicode escapes (backslash and numeric character references) keep places character by character;
+    every replacement of escapes shortens the text, so the work is finite.
+    """
     order = {k: i for i, k in enumerate((*_KINDS, "bomb"))}
     key = lambda s: (s[0], order[s[1]], s[2])
     base = sorted(base_spans(text), key=key)
-    found = set(base)
-    for layer, at in layers(text):
-        if layer is None:
-            found.add((at[0][0], "bomb", at[0][1]))
-            continue
-        for s, kind, e in base_spans(layer):
-            found.add((at[s][0], kind, at[e - 1][1]))
+    found, known = set(base), {}
+    work, seen = [(text, None)], set()
+    while work:
+        now, at = work.pop(0)
+        where = (lambda s, e: (s, e)) if at is None else lambda s, e, at=at: (at[s][0], at[e - 1][1])
+        if at is not None:
+            for s, kind, e in base_spans(now):
+                s, e = where(s, e)
+                found.add((s, kind, e))
+        for s, e, layer in _encoded(now):
+            s, e = where(s, e)
+            found.update((s, kind, e) for kind in _kinds_within(layer, known))
+        for inner, spans in _unescaped(now, at):
+            d = _digest(inner), hash(tuple(spans))
+            if d not in seen:
+                seen.add(d)
+                work.append((inner, spans))
     return base, sorted(found, key=key)
 
 

@@ -296,6 +296,18 @@ def test_decoding_ends_on_cycles_and_bombs():
     assert secrets.spans_of("%2525252525")[1] == []
 
 
+def _kinds_at(text):
+    return {(k, text[s:e]) for s, k, e in secrets.spans_of(text)[1]}
+
+
+def test_every_place_of_a_repeated_blob_is_found():
+    blob = base64.b64encode(b'{"password": "hunter2222"}').decode()
+    quoted = "".join(f"%{ord(c):02X}" for c in blob)
+    text = f"a {blob} b {blob} c {quoted} d"
+    assert [text[s:e] for s, _, e in secrets.spans_of(text)[1]] == [blob, blob, quoted]
+    assert secrets.masked(text, secrets.spans_of(text)[1]) == "a [SECRET] b [SECRET] c [SECRET] d"
+
+
 # Media
 
 
