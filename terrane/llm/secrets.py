@@ -48,31 +48,65 @@ class _Bomb(Exception):
     pass
 
 
-def _expanded(data: bytes) -> bytes | None:
-    """What a compressed layer holds, or None if it isn't one."""
-    ways = ((b"\x1f\x8b\x08", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor), (b"x", zlib.decompressobj))
-    for magic, way in ways:
-        if data.startswith(magic):
-            unpack = way()
-            try:
-                out = unpack.decompress(data, _EXPANDED + 1)
-            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-                return None
-            if len(out) > _EXPANDED:
-                raise _Bomb
-            return out if unpack.eof else None
-    if data.startswith(b"(\xb5/\xfd"):
-        import zstandard
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj()
+
+
+#: Of each format: its first bytes, its decoder, and the most bytes given to that at a time (zstd has no limit of output).
+_FORMATS = (
+    (re.compile(rb"\x1f\x8b\x08"), lambda: zlib.decompressobj(31), 1 << 16),
+    (re.compile(rb"BZh"), bz2.BZ2Decompressor, 1 << 16),
+    (re.compile(rb"\xfd7zXZ\x00"), lzma.LZMADecompressor, 1 << 16),
+    (re.compile(rb"x[\x01\x5e\x9c\xda]"), zlib.decompressobj, 1 << 16),
+    (re.compile(rb"\x28\xb5\x2f\xfd"), _zstd, 64),
+)
+
 
+def _member(make, data: bytes, at: int, step: int) -> tuple[bytes, int]:
+    """What a compressed stream at a place of data holds, as far as it can be decoded, and where it ends (0 if cut short
+    or damaged)."""
+    for by in (step, 1):  # A damaged stream again byte by byte, which keeps all before the damage.
+        unpack, out = make(), bytearray()
         try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(_EXPANDED + 1)
-        except zstandard.ZstdError:
-            return None
-        if len(out) > _EXPANDED:
+            for i in range(at, len(data), by):
+                chunk = data[i : i + by]
+                while True:
+                    out += unpack.decompress(chunk) if step == 64 else unpack.decompress(chunk, _EXPANDED + 1 - len(out))
+                    if len(out) > _EXPANDED:
+                        raise _Bomb
+                    if unpack.eof:
+                        return bytes(out), min(i + by, len(data)) - len(unpack.unused_data)
+                    chunk = getattr(unpack, "unconsumed_tail", b"") if step > 64 else b""
+                    if not chunk and getattr(unpack, "needs_input", True):
+                        break
+            return bytes(out), 0
+        except _Bomb:
+            raise
+        except Exception:  # Each decoder has errors of its own.
+            continue
+    return bytes(out), 0
+
+
+def _expanded(data: bytes) -> bytes | None:
+    """What a compressed layer holds, or None if it isn't one: all its members, and bytes after them as they are. Of a
+    member cut short or damaged, what can be decoded."""
+    out, at = [], 0
+    while at < len(data):
+        kind = next(((make, step) for magic, make, step in _FORMATS if magic.match(data, at)), None)
+        got, end = _member(kind[0], data, at, kind[1]) if kind else (b"", 0)
+        out.append(got)
+        if sum(map(len, out)) > _EXPANDED:
             raise _Bomb
-        return out
-    return None
+        if not end:
+            if not any(out):
+                return None
+            if not kind:
+                out += [b"\n", data[at:]]
+            break
+        at = end
+    return b"".join(out)
 
 
 def _from_base64(token: str) -> bytes | None:

@@ -308,6 +308,26 @@ def test_every_place_of_a_repeated_blob_is_found():
     assert secrets.masked(text, secrets.spans_of(text)[1]) == "a [SECRET] b [SECRET] c [SECRET] d"
 
 
+@pytest.mark.parametrize("way", ["gzip", "zlib", "bz2", "xz", "zstd"])
+def test_all_members_of_a_compressed_layer_are_read(way):
+    import bz2
+    import lzma
+
+    import zstandard
+
+    pack = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}[way]
+    members = pack(b"first ") + pack(b"second ") + pack(b"password=hunter2222 " * 2)
+    blob = base64.b64encode(members).decode()
+    assert ("assign", blob) in _kinds_at(f"a {blob} b")
+    assert secrets._expanded(members + b"tail").endswith(b"\ntail")
+    if way in ("gzip", "zlib"):
+        cut = base64.b64encode(pack(b"token=abcdefgh1 " + random.Random(1).randbytes(300))[:-40]).decode()
+        hurt = bytearray(pack(b"token=abcdefgh1 and more"))
+        hurt[-1] ^= 1
+        assert secrets._expanded(base64.b64decode(cut)).startswith(b"token=abcdefgh1")
+        assert secrets._expanded(bytes(hurt)).startswith(b"token=abcdefgh1")
+
+
 # Media
 
 
