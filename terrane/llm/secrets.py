@@ -21,6 +21,8 @@ _KINDS = ("assign", "access", "hex")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: ASCII in UTF-16 of either byte order.
+_WIDE = re.compile(r"\0?(?:[\t\n\r\x20-\x7e]\0){6,}[\t\n\r\x20-\x7e]?")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes that a compressed layer may expand to; a larger one is not unwrapped (such a bomb is reported as a span of kind
 #: "bomb"), which bounds a task's memory whatever a text holds.
@@ -34,16 +36,6 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
 
 
-def _plain(data: bytes) -> str | None:
-    """Decoded bytes as text, if that is what they are."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    shown = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return text if text and shown >= 0.9 * len(text) else None
-
-
 class _Bomb(Exception):
     pass
 
@@ -56,12 +48,13 @@ def _zstd():
 
 #: Of each format: its first bytes, its decoder, and the most bytes given to that at a time (zstd has no limit of output).
 _FORMATS = (
-    (re.compile(rb"\x1f\x8b\x08"), lambda: zlib.decompressobj(31), 1 << 16),
-    (re.compile(rb"BZh"), bz2.BZ2Decompressor, 1 << 16),
-    (re.compile(rb"\xfd7zXZ\x00"), lzma.LZMADecompressor, 1 << 16),
-    (re.compile(rb"x[\x01\x5e\x9c\xda]"), zlib.decompressobj, 1 << 16),
-    (re.compile(rb"\x28\xb5\x2f\xfd"), _zstd, 64),
+    (b"\x1f\x8b\x08", lambda: zlib.decompressobj(31), 1 << 12),
+    (b"BZh", bz2.BZ2Decompressor, 1 << 12),
+    (b"\xfd7zXZ\x00", lzma.LZMADecompressor, 1 << 12),
+    (b"x", zlib.decompressobj, 1 << 12),
+    (b"\x28\xb5\x2f\xfd", _zstd, 64),
 )
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
 
 
 def _member(make, data: bytes, at: int, step: int) -> tuple[bytes, int]:
@@ -89,24 +82,33 @@ def _member(make, data: bytes, at: int, step: int) -> tuple[bytes, int]:
     return bytes(out), 0
 
 
-def _expanded(data: bytes) -> bytes | None:
-    """What a compressed layer holds, or None if it isn't one: all its members, and bytes after them as they are. Of a
-    member cut short or damaged, what can be decoded."""
-    out, at = [], 0
-    while at < len(data):
-        kind = next(((make, step) for magic, make, step in _FORMATS if magic.match(data, at)), None)
-        got, end = _member(kind[0], data, at, kind[1]) if kind else (b"", 0)
+def _expanded(data: bytes, at: int = 0) -> tuple[bytes, int]:
+    """What the compressed members that follow each other from a place of data hold, and where they end (0 if the last one
+    is cut short or damaged: then what can be decoded of it)."""
+    out, end = [], at
+    while m := _MAGIC.match(data, end):
+        make, step = next((make, step) for magic, make, step in _FORMATS if m.group().startswith(magic))
+        got, after = _member(make, data, end, step)
         out.append(got)
         if sum(map(len, out)) > _EXPANDED:
             raise _Bomb
-        if not end:
-            if not any(out):
-                return None
-            if not kind:
-                out += [b"\n", data[at:]]
-            break
-        at = end
-    return b"".join(out)
+        if not after:
+            return b"".join(out), 0
+        end = after
+    return b"".join(out), end
+
+
+def _streams(data: bytes):
+    """(start, end, content) of what is compressed in data, wherever it begins; the content is None if it expands too far."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        try:
+            got, end = _expanded(data, m.start())
+        except _Bomb:
+            got, end = None, len(data)
+        if got is None or got:
+            yield m.start(), end or len(data), got
+        at = end or m.start() + 1
 
 
 def _from_base64(token: str) -> bytes | None:
@@ -142,11 +144,8 @@ def _replaced(text: str, at: list[tuple[int, int]] | None, pattern, decode):
     return "".join(out), spans
 
 
-def _percent(token: str) -> str | None:
-    try:
-        return bytes.fromhex(token.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(token: str) -> str:
+    return bytes.fromhex(token.replace("%", "")).decode("utf-8", "replace")
 
 
 def _escape(token: str) -> str | None:
@@ -157,8 +156,9 @@ def _escape(token: str) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+def _digest(layer: str | bytes) -> tuple:
+    data = layer if isinstance(layer, bytes) else layer.encode("utf-8", "surrogatepass")
+    return type(layer), hashlib.sha256(data).digest()
 
 
 def _unescaped(now: str, at):
@@ -170,42 +170,40 @@ def _unescaped(now: str, at):
 
 
 def _encoded(now: str):
-    """(start, end, layer) for each base64 run of a layer; the layer is None if it expands too far."""
+    """(start, end, bytes) for each base64 run of a layer."""
     for m in _BASE64.finditer(now):
         data = _from_base64(m.group())
-        if data is None:
-            continue
-        try:
-            while (more := _expanded(data)) is not None:
-                data = more
-        except _Bomb:
-            yield m.start(), m.end(), None
-            continue
-        inner = _plain(data)
-        if inner is not None:
-            yield m.start(), m.end(), inner
+        if data is not None:
+            yield m.start(), m.end(), data
 
 
-def _kinds_within(layer: str | None, known: dict) -> set:
+def _kinds_within(layer: str | bytes, known: dict) -> set:
     """The kinds of secrets in a decoded layer and in all that is encoded in it.
 
-    A worklist unwraps a layer until nothing new comes up; one met before is not unwrapped again, so cycles end. All of it
-    has one place in the text, so kinds are enough to know, and known keeps them for the next place of the same layer.
+    Bytes are read as Latin-1, whatever they are: patterns, escapes and base64 are ASCII, which that and UTF-8 share, and
+    runs of ASCII in UTF-16 are read apart. A worklist unwraps a layer until nothing new comes up; one met before is not
+    unwrapped again, so cycles end. All of it has one place in the text, so kinds are enough to know, and known keeps
+    them for the next place of the same layer.
     """
-    if layer is None:
-        return {"bomb"}
     key = _digest(layer)
     if key not in known:
         kinds, work, seen = set(), [layer], {key}
         while work:
-            now = work.pop()
+            now, inner = work.pop(), []
+            if isinstance(now, bytes):
+                inner += (x for _, _, x in _streams(now))
+                now = now.decode("latin-1")
+            if "\0" in now:
+                inner += (m.group().replace("\0", "") for m in _WIDE.finditer(now))
+            inner += (x for x, _ in _unescaped(now, None))
+            inner += (x for _, _, x in _encoded(now))
             kinds.update(k for _, k, _ in base_spans(now))
-            for inner in (*(x for x, _ in _unescaped(now, None)), *(x for _, _, x in _encoded(now))):
-                if inner is None:
+            for x in inner:
+                if x is None:
                     kinds.add("bomb")
-                elif (d := _digest(inner)) not in seen:
+                elif (d := _digest(x)) not in seen:
                     seen.add(d)
-                    work.append(inner)
+                    work.append(x)
         known[key] = kinds
     return known[key]
 

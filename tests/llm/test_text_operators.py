@@ -319,13 +319,31 @@ def test_all_members_of_a_compressed_layer_are_read(way):
     members = pack(b"first ") + pack(b"second ") + pack(b"password=hunter2222 " * 2)
     blob = base64.b64encode(members).decode()
     assert ("assign", blob) in _kinds_at(f"a {blob} b")
-    assert secrets._expanded(members + b"tail").endswith(b"\ntail")
+    blob = base64.b64encode(members + b" and token=abcdefgh1").decode()
+    assert ("assign", blob) in _kinds_at(f"a {blob} b")
     if way in ("gzip", "zlib"):
-        cut = base64.b64encode(pack(b"token=abcdefgh1 " + random.Random(1).randbytes(300))[:-40]).decode()
+        cut = pack(b"token=abcdefgh1 " + random.Random(1).randbytes(300))[:-40]
         hurt = bytearray(pack(b"token=abcdefgh1 and more"))
         hurt[-1] ^= 1
-        assert secrets._expanded(base64.b64decode(cut)).startswith(b"token=abcdefgh1")
-        assert secrets._expanded(bytes(hurt)).startswith(b"token=abcdefgh1")
+        for data in (cut, bytes(hurt)):
+            blob = base64.b64encode(data).decode()
+            assert ("assign", blob) in _kinds_at(f"a {blob} b")
+
+
+def test_layers_that_are_not_clean_text_are_scanned():
+    import io
+    import tarfile
+
+    box = io.BytesIO()
+    with tarfile.open(fileobj=box, mode="w:gz") as t:
+        info = tarfile.TarInfo(".env")
+        info.size = 19
+        t.addfile(info, io.BytesIO(b"PASSWORD=hunter2222"))
+    line = "$token = 'abcdefgh1' # é"
+    for data in (box.getvalue(), line.encode("utf-16-le"), line.encode("utf-16-be"), line.encode("utf-16"), b"password=hunter2222\xff", b"\x00\x01" + box.getvalue()):
+        blob = base64.b64encode(data).decode()
+        assert ("assign", blob) in _kinds_at(f"a {blob} b")
+    assert _kinds_at("a %ff%70assword%3Dhunter2222 b") == {("assign", "%ff%70assword%3Dhunter2222")}
 
 
 # Media
