@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -10,6 +9,7 @@ import html
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,6 +24,9 @@ _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{
 #: ASCII in UTF-16 of either byte order.
 _WIDE = re.compile(r"\0?(?:[\t\n\r\x20-\x7e]\0){6,}[\t\n\r\x20-\x7e]?")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs joined over line breaks, with what indents the next line, and their lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Bytes that a compressed layer may expand to; a larger one is not unwrapped (such a bomb is reported as a span of kind
 #: "bomb"), which bounds a task's memory whatever a text holds.
 _EXPANDED = 1 << 24
@@ -111,14 +114,12 @@ def _streams(data: bytes):
         at = end or m.start() + 1
 
 
-def _from_base64(token: str) -> bytes | None:
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+def _from_base64(run: str, skip: int) -> bytes:
+    """The bytes of a run without its padding, from a character on; a last character that ends no byte is left out."""
+    body = run[skip:].replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
+        body = body[:-1]
+    return binascii.a2b_base64(body + "=" * (-len(body) % 4))
 
 
 def _replaced(text: str, at: list[tuple[int, int]] | None, pattern, decode):
@@ -169,12 +170,39 @@ def _unescaped(now: str, at):
             yield got
 
 
+def _places(data: bytes):
+    """(start, end, layer) of what may be or hold secrets in bytes."""
+    now = data.decode("latin-1")
+    yield from ((s, e, now[s:e]) for s, _, e in base_spans(now))
+    yield from _streams(data)
+    for pattern in (_WIDE, _BASE64, _WRAPPED):
+        yield from ((m.start(), m.end(), m.group()) for m in pattern.finditer(now))
+    if _PERCENT.search(now) or _ESCAPE.search(now):
+        yield 0, len(data), data
+
+
 def _encoded(now: str):
-    """(start, end, bytes) for each base64 run of a layer."""
+    """(start, end, layer) for what base64 runs of a layer hold, at each of the four alignments, as a run may have other
+    characters of its alphabet before it. The place of what is in one line is its run; of what lines that are joined
+    hold, the lines that it comes from."""
     for m in _BASE64.finditer(now):
-        data = _from_base64(m.group())
-        if data is not None:
-            yield m.start(), m.end(), data
+        run = m.group().rstrip("=")
+        for skip in range(4):
+            yield m.start(), m.end(), _from_base64(run, skip)
+    for m in _WRAPPED.finditer(now):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(now, m.start(), m.end())]
+        run = "".join(now[s:e] for s, e in lines)
+        if len(run) < 16:
+            continue
+        begins = [0]
+        for s, e in lines:
+            begins.append(begins[-1] + e - s)
+        lines[-1] = (lines[-1][0], m.end())
+        for skip in range(4):
+            for s, e, layer in _places(_from_base64(run, skip)):
+                first = bisect_right(begins, skip + 4 * (s // 3)) - 1
+                last = bisect_right(begins, min(skip + 4 * -(-e // 3), len(run)) - 1) - 1
+                yield lines[first][0], lines[last][1], layer
 
 
 def _kinds_within(layer: str | bytes, known: dict) -> set:

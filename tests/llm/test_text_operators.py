@@ -346,6 +346,27 @@ def test_layers_that_are_not_clean_text_are_scanned():
     assert _kinds_at("a %ff%70assword%3Dhunter2222 b") == {("assign", "%ff%70assword%3Dhunter2222")}
 
 
+def test_wrapped_and_prefixed_base64_is_decoded():
+    rng = random.Random(3)
+    noise = "".join(rng.choice("abcdefghij ") for _ in range(400)).encode()
+    for data in (gzip.compress(noise + b" password=hunter2222 " + noise), b"x" * 50 + b"password=hunter2222" + b"y" * 40):
+        plain = base64.b64encode(data).decode()
+        for n, tab, end in ((76, "", "\n"), (64, "    ", "\r\n"), (40, "\t", "\n")):
+            lines = [plain[i : i + n] for i in range(0, len(plain), n)]
+            text = "see attached\n" + "".join(tab + x + end for x in lines) + "Regards, all\n"
+            spans = secrets.spans_of(text)[1]
+            assert {k for _, k, _ in spans} == {"assign"}
+            new = secrets.masked(text, spans)
+            assert new.startswith("see attached\n") and new.endswith("Regards, all\n") and not any(x in new for x in lines[1:2])
+    for head in ("com/p/", "id_", "a-", "x/", "abcd/"):
+        for data in (b'{"password": "hunter2222"}', gzip.compress(b"secret=swordfish99")):
+            blob = base64.b64encode(data).decode()
+            got = _kinds_at(f"see https://h.com {head}{blob} b")
+            assert ("assign", head + blob) in got, (head, got)
+    words = "\n".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 12))) for _ in range(3000))
+    assert secrets.spans_of(words)[1] == []
+
+
 # Media
 
 
