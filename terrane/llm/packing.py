@@ -11,9 +11,8 @@ from .tokens import encoder
 
 _MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 _BINS = f"node bigint, done boolean, sequence_id bigint, fill int, members array<{_MEMBER}>"
-#: Pieces that a task holds before it packs them, and underfull bins that a node of the tree passes on;
-#: beyond the latter the fullest are closed as they are: every piece stays, at a slightly lower fill.
-_HELD, _PASSED = 1 << 16, 1 << 16
+#: Pieces that a task holds before it packs them, and underfull bins of a node of the tree beyond which several tasks share them.
+_HELD = 1 << 16
 
 
 def best_fit(sizes, capacity: int) -> list[list[int]]:
@@ -66,8 +65,9 @@ def pack_documents(docs: DataFrame, vocab_path: str, *, doc_id: str = "doc_id",
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, fill (of its sequence).
 
     Each task encodes its whole documents and packs their pieces by best fit; bins at least nearly_full are
-    final, the others go up a tree of fan_in, in which each node packs its underfull bins as items again, or their
-    pieces where that leaves fewer bins.
+    final, the others all go up a tree of fan_in, in which each node packs its underfull bins as items again, or their
+    pieces where that leaves fewer bins. A node with many deals them by hash to several tasks; the root then deals what
+    these leave anew, until one task has it all or a round saves less than a bin a task.
     Only piece descriptions move between tasks, never texts or ids. Null text counts as empty (one piece with
     the end id); a null doc_id stays null; repeated rows are packed as often as they occur; no rows, no pieces.
     """
@@ -129,25 +129,41 @@ def pack_documents(docs: DataFrame, vocab_path: str, *, doc_id: str = "doc_id",
         packed = whole if len(whole) <= len(apart) else [[[pieces[i]] for i in b] for b in apart]
         numbers = sorted(r["sequence_id"] for r in got)
         made = [(sum(m["length"] for part in parts for m in part), number, _merged(parts)) for number, parts in zip(numbers, packed)]
-        made.sort(key=lambda x: (x[0], x[1]))
-        for k, (fill, number, members) in enumerate(made):
+        for fill, number, members in made:
             out["node"].append(got[0]["node"])
-            out["done"].append(fill >= full or k >= _PASSED)
+            out["done"].append(fill >= full)
             out["sequence_id"].append(number)
             out["fill"].append(fill)
             out["members"].append(members)
         return pa.Table.from_pydict(out, schema=_arrow_schema())
 
+    def repacked(left, salt):
+        """The bins (node, ...) packed again, and whether the last node's were shared by tasks."""
+        many = {r.node: -(-r["count"] // _HELD) for r in left.groupBy("node").count().filter(F.col("count") > _HELD).collect()}
+        share = F.lit(0).cast("long")
+        if many:
+            tasks = F.create_map(*(F.lit(x).cast("long") for pair in many.items() for x in pair))[F.col("node")]
+            share = F.coalesce(F.pmod(F.xxhash64(F.lit(salt), "sequence_id"), tasks), share)
+        return written(left.withColumn("share", share).groupBy("node", "share").applyInArrow(node, _BINS), "bins"), 0 in many
+
     bins = written(src.mapInArrow(local, _BINS), "bins")
     finals = [bins.filter("done")]
     left = bins.filter("not done")
     last = bins.agg(F.max("node")).first()[0] or 0
+    shared = False
     while last > 0 or len(finals) == 1:
         last //= fan_in
-        up = left.withColumn("node", F.expr(f"node div {fan_in}"))
-        bins = written(up.groupBy("node").applyInArrow(node, _BINS), "bins")
+        bins, shared = repacked(left.withColumn("node", F.expr(f"node div {fan_in}")), len(finals))
+        finals.append(bins.filter("done"))
+        left = bins.filter("not done")
+    while shared:
+        n = left.count()
+        bins, shared = repacked(left, len(finals))
+        saved = n - bins.count()
         finals.append(bins.filter("done"))
         left = bins.filter("not done")
+        if saved < -(-n // _HELD):
+            break
     out = left
     for x in finals:
         out = out.unionByName(x)

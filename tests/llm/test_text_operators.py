@@ -144,6 +144,19 @@ def test_packing_covers_every_document_once(docs, rows, none):
     assert packing.pack_documents(none, vocabulary("byte_bpe_50k.json")).collect() == []
 
 
+def test_bins_that_fit_in_other_files_only_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_HELD", 40)
+    monkeypatch.setattr(packing, "_PASSED", 10, raising=False)
+    encode = encoder(vocabulary("byte_bpe_50k.json"), "bytes")
+    text = {n: "a" + " a" * (n - 2) for n in (600, 424)}
+    assert all(len(encode(t)) + 1 == n for n, t in text.items())
+    rows = [(i, text[600 if i < 200 else 424]) for i in range(400)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string")
+    got = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert len({r.sequence_id for r in got}) == 200 and {r.fill for r in got} == {1024}
+
+
 def test_best_fit_takes_the_tightest_bin():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [[0, 2], [1, 3, 4]]
     assert packing.best_fit([], 10) == []
