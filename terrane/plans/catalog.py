@@ -844,7 +844,7 @@ def madag_bottlenecks(spark, sf_dir):
 
 def _geodesic(spark, sf_dir):
     g, y = I.orders_path(spark, sf_dir), I.price(spark, sf_dir)
-    return g, y, P.geodesic_basins(g, y, X.extrema_table(g, y).filter("v % 10 = 0").select("v", "type"))
+    return g, y, P.geodesic_basins(g, y, X.extrema_table(g, y).select("v", "type"))
 
 
 @_register()

@@ -7,7 +7,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from terrane.plans import catalog
+from terrane.operators import extrema as X
+from terrane.plans import catalog, inputs as I
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,6 +35,13 @@ def test_query_equals_its_sql(spark, duck, name):
     assert _plain(got.select(*want.columns).collect()) == _plain(want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["geodesic_basins", "basin_terminals"])
+def test_geodesic_queries_have_every_extremum(spark, name):
+    got = catalog.queries()[name](spark, SF).select("extremum", "type").distinct().collect()
+    want = X.extrema_table(I.orders_path(spark, SF), I.price(spark, SF)).select("v", "type").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_every_sql_has_its_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
