@@ -30,6 +30,8 @@ _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Bytes that a compressed layer may expand to; a larger one is not unwrapped (such a bomb is reported as a span of kind
 #: "bomb"), which bounds a task's memory whatever a text holds.
 _EXPANDED = 1 << 24
+#: Bytes that parts of the content of many members share, so that what stands across their border is whole in one.
+_OVERLAP = 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -85,33 +87,33 @@ def _member(make, data: bytes, at: int, step: int) -> tuple[bytes, int]:
     return bytes(out), 0
 
 
-def _expanded(data: bytes, at: int = 0) -> tuple[bytes, int]:
-    """What the compressed members that follow each other from a place of data hold, and where they end (0 if the last one
-    is cut short or damaged: then what can be decoded of it)."""
-    out, end = [], at
-    while m := _MAGIC.match(data, end):
-        make, step = next((make, step) for magic, make, step in _FORMATS if m.group().startswith(magic))
-        got, after = _member(make, data, end, step)
-        out.append(got)
-        if sum(map(len, out)) > _EXPANDED:
-            raise _Bomb
-        if not after:
-            return b"".join(out), 0
-        end = after
-    return b"".join(out), end
-
-
 def _streams(data: bytes):
-    """(start, end, content) of what is compressed in data, wherever it begins; the content is None if it expands too far."""
+    """(start, end, content) of what is compressed in data, wherever it begins; the content is None if one member expands
+    too far.
+
+    Members that follow each other are one content, in parts with an overlap where it is long; a member that is cut
+    short or damaged ends it with what can be decoded, and others are looked for from the byte after its first.
+    """
     at = 0
     while m := _MAGIC.search(data, at):
-        try:
-            got, end = _expanded(data, m.start())
-        except _Bomb:
-            got, end = None, len(data)
-        if got is None or got:
-            yield m.start(), end or len(data), got
-        at = end or m.start() + 1
+        start = end = m.start()
+        out = b""
+        while m:
+            make, step = next((make, step) for magic, make, step in _FORMATS if m.group().startswith(magic))
+            begin, end = m.start(), 0
+            try:
+                got, end = _member(make, data, begin, step)
+            except _Bomb:
+                got = b""
+                yield begin, len(data), None
+            if len(out) + len(got) > _EXPANDED:
+                yield start, begin, out
+                out = out[-_OVERLAP:]
+            out += got
+            m = _MAGIC.match(data, end) if end else None
+        if out:
+            yield start, end or len(data), out
+        at = end or begin + 1
 
 
 def _from_base64(run: str, skip: int) -> bytes:
