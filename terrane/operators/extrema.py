@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..graph import Graph
@@ -61,8 +64,9 @@ def _violates(kind: str, other: str, own: str) -> str:
     return f"({kind} = 'max' and {other} >= {own}) or ({kind} = 'min' and {other} <= {own})"
 
 
-def hop_index(graph: Graph, field: DataFrame, extrema: DataFrame, most: int = 64) -> DataFrame:
-    """(v, type, y, hop_idx): the first hop with a vertex that is not below a maximum (above a minimum); null if none.
+def hop_index(graph: Graph, field: DataFrame, extrema: DataFrame, most: int | None = None) -> DataFrame:
+    """(v, type, y, hop_idx): the first hop with a vertex that is not below a maximum (above a minimum); null if none
+    (or, where `most` hops are named, none within these).
 
     Levels are searched only for extrema that have met none yet, and vertices of their last level only go on.
     """
@@ -71,7 +75,7 @@ def hop_index(graph: Graph, field: DataFrame, extrema: DataFrame, most: int = 64
     from ..checkpoints import cut
 
     seen = front = cut(front)
-    for h in range(1, most + 1):
+    for h in count(1) if most is None else range(1, most + 1):
         nxt = front.join(graph.edges, front.v == graph.edges.src).select("ref", F.col("dst").alias("v")).distinct()
         nxt = cut(nxt.join(seen, ["ref", "v"], "left_anti"))
         if nxt.isEmpty():
@@ -81,12 +85,12 @@ def hop_index(graph: Graph, field: DataFrame, extrema: DataFrame, most: int = 64
         open_ = open_.join(found[-1], "ref", "left_anti")
         front = nxt.join(found[-1], "ref", "left_anti")
         seen = cut(seen.join(found[-1], "ref", "left_anti").union(front))
+        if h % 16 == 0:  # Long searches keep short plans.
+            open_, found = cut(open_), [cut(reduce(DataFrame.union, found))]
     out = extrema.select("v", "type", "y")
     if not found:
         return out.withColumn("hop_idx", F.lit(None).cast("int"))
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
+    every = reduce(DataFrame.union, found)
     return out.join(every.select(F.col("ref").alias("v"), "hop_idx"), "v", "left").select("v", "type", "y", "hop_idx")
 
 

@@ -81,6 +81,14 @@ def test_plateau_walk_ends_at_the_exit(spark):
     assert got[2][2] == 3 and got[3][2] == 5 and got[2][3] == got[3][3] == 5
 
 
+def test_hop_index_without_a_bound(spark):
+    n = 68
+    g = graph(spark, [(i, i + 1, 1.0) for i in range(1, n)])
+    y = field(spark, [10.0, *(float(x) / 100 for x in range(n - 2)), 20.0])
+    got = {r.v: r.hop_idx for r in X.hop_index(g, y, spark.createDataFrame([(1, "max", 10.0), (n, "max", 20.0)], "v long, type string, y double")).collect()}
+    assert got == {1: n - 1, n: None}
+
+
 def test_grid_plateau_and_persistence(spark):
     g, y = graph(spark, GRID), field(spark, [4, 4, 1, 2, 0, 1, 1, 2, 3])
     assert as_dict(W.plateaus(g, y), value="plateau")[2] == 1
