@@ -1,9 +1,9 @@
-"""Token ids of whole texts, equal to those of the tokenizers library, several times faster.
+"""Token ids of whole texts by the tokenizers library, each distinct piece encoded once by a worker.
 
-The tokenizers library takes about three times the CPU of tiktoken for the same merges. For texts of the
-Latin blocks below U+0180, where both split text alike, the merges run in tiktoken, whose ranks are built
-from the vocabulary file that the tokenizers library reads; any other text goes through that library itself.
-`tests/llm/test_tokens.py` holds both ways against it.
+A vocabulary splits a text into pieces and encodes each on its own, and words repeat. So for texts of the Latin
+blocks below U+0180, where one pattern splits as the vocabulary does, a worker keeps the ids that the library's model
+gave to the pieces it has met. Any other text, and one that holds an added token of the vocabulary, goes through the
+library whole. `tests/llm/test_tokens.py` holds both ways against the library with nothing set.
 """
 
 from __future__ import annotations
@@ -14,13 +14,11 @@ import re
 import unicodedata
 from array import array
 
-#: The byte that ends a word in the ranks of a word-end vocabulary; a text that holds it takes the plain way.
-_END = "\x01"
 _LATIN = [chr(c) for c in range(0x180)]
 _LETTER = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBER = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _SPACE = "\t-\r \x85\xa0"
-_OTHER = {"bytes": re.compile("[^\x00-ſ]"), "words": re.compile("[^\x00\x02-įı-ſ]")}
+_OTHER = {"bytes": re.compile("[^\x00-ſ]"), "words": re.compile("[^\x00-įı-ſ]")}
 #: The patterns by which the two public vocabularies split a text, for these characters.
 _PIECES = {
     "bytes": re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall,
@@ -53,44 +51,31 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_of_char() -> dict[str, int]:
+def _char_of_byte() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 bytes stand for themselves,
     the others for U+0100 and up in turn."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, style: str):
-    """text -> numpy array of its ids (uint32). style: "bytes" for a byte-level, "words" for a word-end vocabulary."""
+    """text -> numpy array of its ids (uint32), those of the library for add_special_tokens=False. style: "bytes" for a
+    byte-level, "words" for a vocabulary of lower-cased words."""
     import numpy as np
-    import tiktoken
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    special = {x["content"] for x in model["added_tokens"]}
-    byte = _byte_of_char()
-    ids = {}
-    for token, k in model["model"]["vocab"].items():
-        if token not in special:
-            end = style == "words" and token.endswith("</w>")
-            raw = bytes(byte[c] for c in (token.removesuffix("</w>") if end else token))
-            ids[raw + _END.encode() * end] = k
-    # A word's last byte takes its end mark before anything else merges; then the vocabulary's order.
-    order = sorted(ids, key=lambda t: (not (len(t) == 2 and t[1:] == _END.encode() and style == "words"), ids[t]))
-    ranks = {t: k for k, t in enumerate(order)}
-    back = [ids[t] for t in order]
-    merge = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
-    other, pieces, end = _OTHER[style].search, _PIECES[style], _END if style == "words" else ""
-    known = _Known(lambda piece: array("I", map(back.__getitem__, merge._encode_single_piece(piece + end))).tobytes())
+        added = [re.escape(x["content"]) for x in json.load(f)["added_tokens"]]
+    other, holds = _OTHER[style].search, re.compile("|".join(added) or r"(?!)").search
+    pieces, lower, stand_in, tokenize = _PIECES[style], style == "words", _char_of_byte(), tok.model.tokenize
+    known = _Known(lambda piece: array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(stand_in))]).tobytes())
 
     def encode(text: str):
-        if other(text):
+        if other(text) or holds(text):
             return np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces(text.lower() if end else text))), "<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces(text.lower() if lower else text))), "<u4")
 
     return encode
