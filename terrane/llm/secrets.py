@@ -9,6 +9,7 @@ import html
 import lzma
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,10 +28,10 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs joined over line breaks, with what indents the next line, and their lines.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
-#: Bytes that a compressed layer may expand to; a larger one is not unwrapped (such a bomb is reported as a span of kind
-#: "bomb"), which bounds a task's memory whatever a text holds.
-_EXPANDED = 1 << 24
-#: Bytes that parts of the content of many members share, so that what stands across their border is whole in one.
+#: Bytes of what a compressed stream expands to that are one layer at a time. Longer content is scanned part by part, so
+#: a task's memory is bounded whatever a text holds.
+_PART = 1 << 24
+#: Bytes that two parts share, so that what stands across their border is whole in one.
 _OVERLAP = 1 << 16
 
 
@@ -41,10 +42,6 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
 
 
-class _Bomb(Exception):
-    pass
-
-
 def _zstd():
     import zstandard
 
@@ -62,57 +59,63 @@ _FORMATS = (
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
 
 
-def _member(make, data: bytes, at: int, step: int) -> tuple[bytes, int]:
-    """What a compressed stream at a place of data holds, as far as it can be decoded, and where it ends (0 if cut short
-    or damaged)."""
-    for by in (step, 1):  # A damaged stream again byte by byte, which keeps all before the damage.
-        unpack, out = make(), bytearray()
+def _member(make, data: bytes, at: int, step: int):
+    """Yields what a compressed stream at a place of data holds, as far as it can be decoded, in pieces of at most _PART
+    bytes or so, and returns where it ends (0 if cut short or damaged)."""
+    told, by, calm = 0, step, len(data)
+    while True:
+        unpack, skip, i = make(), told, at
         try:
-            for i in range(at, len(data), by):
-                chunk = data[i : i + by]
+            while i < len(data):
+                # A damaged stream goes byte by byte from where it failed, which keeps all before the damage.
+                n = step if i + step <= calm else by
+                chunk = data[i : i + n]
+                i += n
                 while True:
-                    out += unpack.decompress(chunk) if step == 64 else unpack.decompress(chunk, _EXPANDED + 1 - len(out))
-                    if len(out) > _EXPANDED:
-                        raise _Bomb
+                    out = unpack.decompress(chunk) if step == 64 else unpack.decompress(chunk, _PART)
+                    if len(out) > skip:
+                        told += len(out) - skip
+                        yield out[skip:]
+                    skip = max(0, skip - len(out))
                     if unpack.eof:
-                        return bytes(out), min(i + by, len(data)) - len(unpack.unused_data)
+                        return min(i, len(data)) - len(unpack.unused_data)
                     chunk = getattr(unpack, "unconsumed_tail", b"") if step > 64 else b""
-                    if not chunk and getattr(unpack, "needs_input", True):
+                    if not chunk and (step == 64 or len(out) < _PART or getattr(unpack, "needs_input", True)):
                         break
-            return bytes(out), 0
-        except _Bomb:
-            raise
+            return 0
         except Exception:  # Each decoder has errors of its own.
-            continue
-    return bytes(out), 0
+            if by == 1:
+                return 0
+            by, calm = 1, i - n
 
 
 def _streams(data: bytes):
-    """(start, end, content) of what is compressed in data, wherever it begins; the content is None if one member expands
-    too far.
+    """(start, end, content) of what is compressed in data, wherever it begins.
 
     Members that follow each other are one content, in parts with an overlap where it is long; a member that is cut
     short or damaged ends it with what can be decoded, and others are looked for from the byte after its first.
     """
     at = 0
     while m := _MAGIC.search(data, at):
-        start = end = m.start()
-        out = b""
+        start, out, fresh, end = m.start(), bytearray(), 0, 0
         while m:
             make, step = next((make, step) for magic, make, step in _FORMATS if m.group().startswith(magic))
-            begin, end = m.start(), 0
-            try:
-                got, end = _member(make, data, begin, step)
-            except _Bomb:
-                got = b""
-                yield begin, len(data), None
-            if len(out) + len(got) > _EXPANDED:
-                yield start, begin, out
-                out = out[-_OVERLAP:]
-            out += got
+            begin, pieces = m.start(), _member(make, data, m.start(), step)
+            while True:
+                try:
+                    piece = next(pieces)
+                except StopIteration as done:
+                    end = done.value
+                    break
+                out += piece
+                fresh += len(piece)
+                while len(out) > _PART:
+                    yield start, len(data), bytes(out[:_PART])
+                    del out[: _PART - _OVERLAP]
+                    fresh = len(out) - _OVERLAP
             m = _MAGIC.match(data, end) if end else None
-        if out:
-            yield start, end or len(data), out
+        if fresh:
+            yield start, end or len(data), bytes(out)
         at = end or begin + 1
 
 
@@ -124,27 +127,63 @@ def _from_base64(run: str, skip: int) -> bytes:
     return binascii.a2b_base64(body + "=" * (-len(body) % 4))
 
 
-def _replaced(text: str, at: list[tuple[int, int]] | None, pattern, decode):
-    """Text with each match of an escape decoded, and for each of its characters the span it came from in the outermost
-    text; None if nothing was decoded."""
-    out, spans, last, changed = [], [], 0, False
-    where = (lambda i: (i, i + 1)) if at is None else at.__getitem__
+class _Origin:
+    """Where the characters of a layer come from in the outermost text, as runs: `at` has the first character of each,
+    `lo` its place there, `hi` the end of that place if all characters of the run share it, or -1 if they go along."""
+
+    def __init__(self):
+        self.at, self.lo, self.hi = array("q"), array("q"), array("q")
+
+    def add(self, at: int, lo: int, hi: int = -1) -> None:
+        for to, value in ((self.at, at), (self.lo, lo), (self.hi, hi)):
+            to.append(value)
+
+    def of(self, i: int) -> tuple[int, int]:
+        """The span of a character."""
+        k = bisect_right(self.at, i) - 1
+        if self.hi[k] < 0:
+            return self.lo[k] + i - self.at[k], self.lo[k] + i - self.at[k] + 1
+        return self.lo[k], self.hi[k]
+
+    def copy(self, s: int, e: int, to: _Origin, at: int) -> None:
+        """Add the runs of characters s to e to another map, from its character `at` on."""
+        k = bisect_right(self.at, s) - 1
+        while s < e:
+            end = min(e, self.at[k + 1]) if k + 1 < len(self.at) else e
+            to.add(at, self.lo[k] + (s - self.at[k] if self.hi[k] < 0 else 0), self.hi[k])
+            at, s, k = at + end - s, end, k + 1
+
+    def digest(self) -> bytes:
+        return hashlib.sha256(b"".join(x.tobytes() for x in (self.at, self.lo, self.hi))).digest()
+
+
+def _itself() -> _Origin:
+    out = _Origin()
+    out.add(0, 0)
+    return out
+
+
+def _replaced(text: str, origin: _Origin, pattern, decode):
+    """Text with each match of an escape decoded, and where its characters come from; None if nothing was decoded."""
+    out, size, last, to = [], 0, 0, _Origin()
     for m in pattern.finditer(text):
         new = decode(m.group())
         if new is None or new == m.group():
             continue
-        changed = True
-        out.append(text[last : m.start()])
-        spans += map(where, range(last, m.start()))
-        out.append(new)
-        whole = (where(m.start())[0], where(m.end() - 1)[1])
-        spans += [whole] * len(new)
+        if last < m.start():
+            origin.copy(last, m.start(), to, size)
+            out.append(text[last : m.start()])
+            size += m.start() - last
+        if new:
+            to.add(size, origin.of(m.start())[0], origin.of(m.end() - 1)[1])
+            out.append(new)
+            size += len(new)
         last = m.end()
-    if not changed:
+    if not last:
         return None
+    origin.copy(last, len(text), to, size)
     out.append(text[last:])
-    spans += map(where, range(last, len(text)))
-    return "".join(out), spans
+    return "".join(out), to
 
 
 def _percent(token: str) -> str:
@@ -164,10 +203,10 @@ def _digest(layer: str | bytes) -> tuple:
     return type(layer), hashlib.sha256(data).digest()
 
 
-def _unescaped(now: str, at):
-    """What a layer is with its URL escapes and with its Unicode escapes decoded, each with its span map."""
+def _unescaped(now: str, origin: _Origin):
+    """What a layer is with its URL escapes and with its Unicode escapes decoded, each with where it comes from."""
     for pattern, decode, signs in ((_PERCENT, _percent, ("%",)), (_ESCAPE, _escape, ("\\", "&#"))):
-        got = _replaced(now, at, pattern, decode) if any(x in now for x in signs) else None
+        got = _replaced(now, origin, pattern, decode) if any(x in now for x in signs) else None
         if got:
             yield got
 
@@ -207,33 +246,40 @@ def _encoded(now: str):
                 yield lines[first][0], lines[last][1], layer
 
 
+def _within(now: str | bytes):
+    """The layers that are encoded in a layer, one at a time."""
+    if isinstance(now, bytes):
+        yield from (x for _, _, x in _streams(now))
+        now = now.decode("latin-1")
+    if "\0" in now:
+        yield from (m.group().replace("\0", "") for m in _WIDE.finditer(now))
+    yield from (x for x, _ in _unescaped(now, _itself()))
+    yield from (x for _, _, x in _encoded(now))
+
+
 def _kinds_within(layer: str | bytes, known: dict) -> set:
     """The kinds of secrets in a decoded layer and in all that is encoded in it.
 
     Bytes are read as Latin-1, whatever they are: patterns, escapes and base64 are ASCII, which that and UTF-8 share, and
-    runs of ASCII in UTF-16 are read apart. A worklist unwraps a layer until nothing new comes up; one met before is not
-    unwrapped again, so cycles end. All of it has one place in the text, so kinds are enough to know, and known keeps
-    them for the next place of the same layer.
+    runs of ASCII in UTF-16 are read apart. A worklist unwraps a layer until nothing new comes up, an inner layer as soon
+    as it is met, so that one layer of each depth is held; one met before, as text or as bytes, is not unwrapped again, so
+    cycles end. All of it has one place in the text, so kinds are enough to know, and known keeps them for the
+    next place of the same layer.
     """
     key = _digest(layer)
     if key not in known:
-        kinds, work, seen = set(), [layer], {key}
+        kinds, seen, work = set(), {key}, [iter((layer,))]
         while work:
-            now, inner = work.pop(), []
-            if isinstance(now, bytes):
-                inner += (x for _, _, x in _streams(now))
-                now = now.decode("latin-1")
-            if "\0" in now:
-                inner += (m.group().replace("\0", "") for m in _WIDE.finditer(now))
-            inner += (x for x, _ in _unescaped(now, None))
-            inner += (x for _, _, x in _encoded(now))
-            kinds.update(k for _, k, _ in base_spans(now))
-            for x in inner:
-                if x is None:
-                    kinds.add("bomb")
-                elif (d := _digest(x)) not in seen:
-                    seen.add(d)
-                    work.append(x)
+            now = next(work[-1], None)
+            if now is None:
+                work.pop()
+                continue
+            if len(work) > 1:
+                if (d := _digest(now)) in seen:
+                    continue
+                seen.add(d)
+            kinds.update(k for _, k, _ in base_spans(now if isinstance(now, str) else now.decode("latin-1")))
+            work.append(_within(now))
         known[key] = kinds
     return known[key]
 
@@ -242,29 +288,31 @@ def spans_of(text: str) -> tuple[list, list]:
     """(base, all) spans of a text, each sorted by start, kind as listed, end. Those found in a decoded layer have the
     kind and the place in the text of what they were decoded from, once for each place where that stands.
 
-    URL escapes and Unicode escapes (backslash and numeric character references) keep places character by character;
+    URL escapes and Unicode escapes (backslash and numeric character references) keep places run by run;
     every replacement of escapes shortens the text, so the work is finite.
     """
-    order = {k: i for i, k in enumerate((*_KINDS, "bomb"))}
+    order = {k: i for i, k in enumerate(_KINDS)}
     key = lambda s: (s[0], order[s[1]], s[2])
     base = sorted(base_spans(text), key=key)
     found, known = set(base), {}
-    work, seen = [(text, None)], set()
+    work, seen = [(text, _itself())], set()
     while work:
-        now, at = work.pop(0)
-        where = (lambda s, e: (s, e)) if at is None else lambda s, e, at=at: (at[s][0], at[e - 1][1])
-        if at is not None:
+        now, origin = work.pop(0)
+        where = lambda s, e, origin=origin: (origin.of(s)[0], origin.of(e - 1)[1])
+        if now is not text:
             for s, kind, e in base_spans(now):
                 s, e = where(s, e)
                 found.add((s, kind, e))
         for s, e, layer in _encoded(now):
-            s, e = where(s, e)
-            found.update((s, kind, e) for kind in _kinds_within(layer, known))
-        for inner, spans in _unescaped(now, at):
-            d = _digest(inner), hash(tuple(spans))
+            kinds = _kinds_within(layer, known)
+            if kinds:
+                s, e = where(s, e)
+                found.update((s, kind, e) for kind in kinds)
+        for inner, to in _unescaped(now, origin):
+            d = _digest(inner), to.digest()
             if d not in seen:
                 seen.add(d)
-                work.append((inner, spans))
+                work.append((inner, to))
     return base, sorted(found, key=key)
 
 
@@ -286,7 +334,9 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded): one row per row, whole texts.
 
     The counts and base_sha256 are of the base patterns in the text itself; spans has these and those found in decoded
-    layers; n_decoded says how many there are of the latter. Null text counts as empty; doc_ids may be null or repeat.
+    layers; n_decoded says how many there are of the latter. Null text counts as empty; doc_ids may be null or repeat; no
+    rows, no result. A very long text is read whole: memory is a few times its length, for escapes as well, as places are
+    kept by runs; what compressed layers expand to is scanned in parts of _PART bytes, however long it is.
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
