@@ -6,7 +6,7 @@ import base64
 import hashlib
 import zlib
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import fresh_path, open_store, write_bytes, written
 
@@ -57,11 +57,13 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     slim = src.filter("page_id is not null").select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least_bytes)
     top = slim.groupBy("digest", "n").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low")).filter("low < top").drop("low")
     roles = slim.join(top, ["digest", "n"]).filter("page_id < top").select("page_id", F.col("digest").alias("role_digest"), F.col("n").alias("role_n"), "top").distinct()
-    dealt = src.withColumn("digest", F.sha1("payload")).join(roles, "page_id", "left")
+    dealt = src.filter("page_id is not null").withColumn("digest", F.sha1("payload")).join(roles, "page_id", "left")
     # A page_id that repeats with other payloads has its role only for the payload it was settled on.
     mine = (F.col("digest") == F.col("role_digest")) & (F.octet_length("payload") == F.col("role_n"))
     dealt = dealt.withColumn("top", F.when(mine, F.col("top")))
-    dealt = dealt.select("page_id", "url", "payload", "top")
+    # Rows without a page_id have no role and stay out of the join, where they would meet in one task.
+    alone = src.filter("page_id is null").withColumn("top", F.lit(None).cast("long"))
+    dealt = dealt.select("page_id", "url", "payload", "top").union(alone.select("page_id", "url", "payload", "top"))
 
     def write(batches):
         import uuid
@@ -139,7 +141,8 @@ def _parsed(data: bytes) -> dict:
 
 
 def records_in(uri: str, start: int, end: int):
-    """(place, fields with "block") of the records that begin in bytes start to end of a file."""
+    """(place, fields with "block") of the records that begin in bytes start to end of a file, as met from start on; then
+    (place, None), the place at or beyond the end up to which bytes are used."""
     store, path = open_store(uri)
     with store.open_input_file(path) as file:
         window, at = _Window(file, file.size()), start
@@ -153,13 +156,14 @@ def records_in(uri: str, start: int, end: int):
                     continue
                 at += hit
                 if at >= end:
-                    return
+                    break
             got = _member(window, at)
             if got is None:
                 at, synced = at + 1, False
                 continue
             yield at, _parsed(got[0])
             at, synced = got[1], True
+    yield max(at, end), None
 
 
 def _page(value: str | None) -> int | None:
@@ -172,12 +176,17 @@ def read_archives(archives: DataFrame, *, range_bytes: int = _RANGE, payloads: b
 
     Files are cut into ranges without regard to records. A task scans its range for gzip magic, takes a place as a
     member only if it decodes to a WARC head, passes its checksum and is followed by a member or the end, and owns the
-    records that begin in its range. Length and digest of a response are computed from the payload read; those of
-    a revisit are of the full payload, from its heads.
+    records that begin in its range. It also tells up to where it used bytes: where a range took for its first record
+    what lies inside a record of a range before (a payload can hold whole members), it is read again from that place,
+    until none is left. So the records are those that a scan from the file's start meets, whatever range_bytes is.
+    Length and digest of a response are computed from the payload read; those of a revisit are of the full payload, from
+    its heads. No archives, no rows.
     """
-    kind = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, path string, place long" + ", payload binary" * payloads
+    out = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, path string, place long" + ", payload binary" * payloads
+    # Rows of records, and one row with `used` for each range.
+    kind = out + ", start long, end long, used long"
     cuts = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    cuts = cuts.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"))
+    cuts = cuts.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"), F.col("start").alias("begin"))
     names = [x.split()[0] for x in kind.split(", ")]
 
     def read(batches):
@@ -187,22 +196,34 @@ def read_archives(archives: DataFrame, *, range_bytes: int = _RANGE, payloads: b
         schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in kind.split(", ")])
         for batch in batches:
             for r in batch.to_pylist():
-                out, size = {k: [] for k in names}, 0
-                for place, f in records_in(r["path"], r["start"], r["end"]):
-                    http, _, payload = f["block"].partition(b"\r\n\r\n")
-                    full = f.get("warc-type") == "response"
-                    inner = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-                    row = {"page_id": _page(f.get("warc-record-id")), "url": f.get("warc-target-uri"), "record_type": f.get("warc-type"), "refers_to": _page(f.get("warc-refers-to")), "path": r["path"], "place": place}
-                    row |= {"payload_bytes": len(payload), "payload_digest": digest_of(payload)} if full else {"payload_bytes": inner, "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:")}
-                    row["payload"] = payload if full else None
+                held, size = {k: [] for k in names}, 0
+                for place, f in records_in(r["path"], r["begin"], r["end"]):
+                    row = dict.fromkeys(names) | {"path": r["path"], "start": r["start"], "end": r["end"]}
+                    if f is None:
+                        row["used"] = place
+                    else:
+                        http, _, payload = f["block"].partition(b"\r\n\r\n")
+                        full = f.get("warc-type") == "response"
+                        inner = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
+                        row |= {"page_id": _page(f.get("warc-record-id")), "url": f.get("warc-target-uri"), "record_type": f.get("warc-type"), "refers_to": _page(f.get("warc-refers-to")), "place": place}
+                        row |= {"payload_bytes": len(payload), "payload_digest": digest_of(payload)} if full else {"payload_bytes": inner, "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:")}
+                        if payloads and full:
+                            row["payload"] = payload
+                        size += 256 + len(payload) * payloads
                     for k in names:
-                        out[k].append(row[k])
-                    size += 256 + len(payload) * payloads
+                        held[k].append(row[k])
                     if size > 1 << 23:
-                        yield pa.RecordBatch.from_pydict(out, schema=schema)
-                        out, size = {k: [] for k in names}, 0
-                if out["page_id"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                        yield pa.RecordBatch.from_pydict(held, schema=schema)
+                        held, size = {k: [] for k in names}, 0
+                yield pa.RecordBatch.from_pydict(held, schema=schema)
 
     n = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return cuts.repartition(n).mapInArrow(read, kind)
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    got = written(cuts.repartition(n).mapInArrow(read, kind), "records")
+    while True:
+        first = got.groupBy("path", "start", "end").agg(F.min("place").alias("first"), F.max("used").alias("used"))
+        late = written(first.withColumn("begin", F.max("used").over(before)).filter("first < begin").select("path", "start", "end", "begin"), "ranges")
+        if late.isEmpty():
+            return got.filter("used is null").drop("start", "end", "used")
+        again = late.withColumn("begin", F.least("begin", "end")).repartition(n).mapInArrow(read, kind)
+        got = written(got.join(late.select("path", "start"), ["path", "start"], "left_anti").unionByName(again), "records")
