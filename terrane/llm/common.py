@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, read from the session, with its file system.
 
-    Only where it is unset (tests, a laptop) a fresh temporary folder is made and set.
+    Only where it is unset and the master is local (tests, a laptop) a fresh temporary folder is made and set; on a
+    cluster that is an error, as executors would not see it.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="shared-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     path = sc._jvm.org.apache.hadoop.fs.Path(named)
@@ -42,6 +47,14 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns, name: str) -> str:
+    """A column name that none of the columns has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def open_store(uri: str):
     """(pyarrow file system, path in it) for a file:, hdfs:, s3:, gs: or abfs: address; a bare path is local."""
     from pyarrow import fs

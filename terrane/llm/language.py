@@ -7,8 +7,12 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import unused
+
 #: The bounded sample that a dictionary is made of: rows of each language, in hash order, and bytes of their text.
 _ROWS, _BYTES = 128, 1 << 16
+#: Languages that may be learned: each is a dictionary that every worker holds and every text is compressed with.
+_LANGUAGES = 200
 #: A text is compressed in parts of so many bytes, each against the dictionary alone, so that all of it counts.
 _PART = 4096
 #: The least margin (share of the second smallest size) at which a prediction is not rejected.
@@ -21,28 +25,32 @@ def _normal(text: str) -> bytes:
     return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train: str = "crc32(cast({id} as string)) % 3 <> 1") -> list[tuple[str, bytes]]:
-    """[(language, dictionary)] from rows that meet `train` and have text and language, in order of language.
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train: str = "crc32(cast({id} as string)) % 3 <> 1",
+        sample_rows: int = _ROWS, sample_bytes: int = _BYTES, most_languages: int = _LANGUAGES) -> list[tuple[str, bytes]]:
+    """[(language, dictionary)] from rows that meet `train` and have doc_id, text and language, in order of language.
 
-    The sample has at most _ROWS rows of a language, chosen by hash of doc_id, and _BYTES of their normal form;
-    languages are taken to be few. Every language that such a row names is learned. No such row: no language.
+    The sample has at most sample_rows distinct rows (doc_id, text) of a language, chosen by hash, and sample_bytes of
+    their normal form. Every language that such a row names is learned; more than most_languages of them is an error, as
+    a column with so many values does not name languages. No such row: no language.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.expr(train.format(id="id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"over {most_languages} languages: name another column, or raise most_languages")
     if not counts:
         return []
-    h, span = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)), 1 << 30
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, span * 2 * _ROWS // n + 1)))))
-    few = rows.filter(h < share[F.col("lang")]).select("lang", h.alias("h"), "id", F.substring("text", 1, _BYTES).alias("text"))
+    h, span = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string"), "text"), F.lit(1 << 30)), 1 << 30
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, span * 2 * sample_rows // n + 1)))))
+    few = rows.withColumn("h", h).filter(F.col("h") < share[F.col("lang")]).select("lang", "h", F.col("id").cast("string").alias("id"), F.substring("text", 1, sample_bytes).alias("text")).distinct()
     parts: dict[str, list[bytes]] = {k: [] for k in counts}
-    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["h"], str(r["id"]), r["text"])):
-        if len(parts[r["lang"]]) < _ROWS:
+    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["h"], r["id"], r["text"])):
+        if len(parts[r["lang"]]) < sample_rows:
             parts[r["lang"]].append(_normal(r["text"]))
     out = []
     for k in sorted(counts):
         # Every row gives the same share of the dictionary, short rows leave theirs to longer ones.
-        left, made = _BYTES, []
+        left, made = sample_bytes, []
         for i, x in enumerate(sorted(parts[k], key=len)):
             made.append(x[: left // (len(parts[k]) - i)])
             left -= len(made[-1])
@@ -84,27 +92,31 @@ def predict(text: str | None, models: tuple) -> tuple[str, float]:
     return coders[k][0], max(0.0, min(1.0, (second - best) / max(1, second - frames)))
 
 
-def identify(docs: DataFrame, models: list[tuple[str, bytes]], *, text: str = "text", lang_to: str = "lang_pred", score_to: str = "score", least: float | None = None) -> DataFrame:
-    """All rows and columns with lang_pred and score added, from whole texts.
+def identify(docs: DataFrame, models: list[tuple[str, bytes]], *, text: str = "text", lang_to: str = "lang_pred", score_to: str = "score", rejected_to: str | None = None, least: float = _MARGIN) -> DataFrame:
+    """All rows and columns with lang_pred and score added, from whole texts, and with `rejected_to`, if named: whether a
+    text is rejected, as `und` or for a margin (score) under `least`, too narrow to tell.
 
-    With `least`, rows that are rejected (`und`, or a score below it) go; `least=_MARGIN` is what rejects narrow margins. A
-    column that has the name of an added one is replaced.
+    A column that has the name of an added one is replaced. Null and empty texts and those without a letter are `und`;
+    equal texts have equal results, whatever else their rows hold; no rows, no result.
     """
     from pyspark.sql import types as T
 
     fixed = tuple(models)
-    keep = [c for c in docs.columns if c not in (lang_to, score_to)]
-    src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField(lang_to, T.StringType()), T.StructField(score_to, T.DoubleType())])
+    added = [c for c in (lang_to, score_to, rejected_to) if c is not None]
+    keep = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
+    body = unused([*docs.columns, *added], "text")
+    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias(body))
+    more = [T.StructField(lang_to, T.StringType()), T.StructField(score_to, T.DoubleType()), *[T.StructField(rejected_to, T.BooleanType())][: rejected_to is not None]]
+    schema = T.StructType([*src.schema.fields[:-1], *more])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             got = [predict(x.as_py(), fixed) for x in batch.column(len(keep))]
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, lang_to, score_to])
-            if least is not None:
-                out = out.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
-            yield out
+            cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            if rejected_to is not None:
+                cols.append(pa.array([g[0] == "und" or g[1] < least for g in got], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*keep, *added])
 
     return src.mapInArrow(run, schema)

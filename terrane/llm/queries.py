@@ -54,9 +54,9 @@ def op9_mixing(spark, sf_dir):
 
 def op10_language(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    got = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    got = language.identify(docs.select("doc_id", "text"), language.fit(docs), rejected_to="rejected")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return got.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def queries() -> dict:
