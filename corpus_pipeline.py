@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrane.llm import language, mixing, packing, secrets, simhash
-from terrane.llm.common import written
+from terrane.llm.common import unused, written
 from terrane.llm.tokens import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects: no text, no letter, or a margin too narrow to tell."""
-    return language.identify(docs, language.fit(docs), lang_to="__lang", score_to="__score", least=language._MARGIN).drop("__lang", "__score")
+    lang, score, rejected = names = [unused(docs.columns, c) for c in ("predicted", "margin", "rejected")]
+    told = language.identify(docs, language.fit(docs), lang_to=lang, score_to=score, rejected_to=rejected)
+    return told.filter(~F.col(rejected)).drop(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each near-duplicate group, once if its row repeats.
 
-    Rows without a doc_id cannot be named in a group; exact repeats among them go.
+    Rows without a doc_id cannot be named in a group; exact repeats among them go. Rows repeat if the JSON forms of all
+    their columns are equal (columns may be of types that cannot be compared, as maps).
     """
     groups = simhash.near_duplicates(docs)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").select(docs.columns)
-    return named.dropDuplicates().unionByName(docs.filter("doc_id is null").dropDuplicates())
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"})
+    mark = unused(docs.columns, "row")
+    named = docs.join(first, "doc_id", "left_semi").withColumn(mark, F.sha2(whole, 256)).dropDuplicates(["doc_id", mark])
+    rest = docs.filter("doc_id is null").withColumn(mark, F.sha2(whole, 256)).dropDuplicates([mark])
+    return named.unionByName(rest).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +40,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 3 times), in the order of its output shards."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     mixed = mixing.mix(docs, shards=1 << max(0, parts - 1).bit_length())
+    key, source, size, shards, n, copy, shard, order = (unused(docs.columns, f"mixed_{c}") for c in ("doc_id", "source", "size", "shards", "words", "copy", "shard", "order"))
     taken = mixed.filter("copies > 0").select("doc_id", "source", "size", "shards").dropDuplicates(["doc_id", "source", "size"])
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.withColumn("__size", size)
-    taken = taken.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source")), F.col("size").alias("__n"), F.col("shards").alias("__shards"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    rows = rows.join(taken, same).select(*docs.columns, F.posexplode("__shards").alias("__copy", "__shard"))
-    rows = rows.withColumn("__order", F.xxhash64(F.lit(42), "__shard", "doc_id", "__copy"))
-    return rows.repartition("__shard").sortWithinPartitions("__shard", "__order").select(docs.columns)
+    taken = taken.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("shards").alias(shards))
+    words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(n) == F.col(size))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn(n, words).join(taken, same).select(*own, F.posexplode(shards).alias(copy, shard))
+    rows = rows.withColumn(order, F.xxhash64(F.lit(42), shard, "doc_id", copy))
+    return rows.repartition(shard).sortWithinPartitions(shard, order).select(*own)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
