@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import fresh_path, open_store, written
 
-#: Bytes of a tar shard before the next is begun.
-_SHARD = 1 << 26
+#: Bytes of a tar shard before the next is begun; members, and bytes, of a lot, which is read by one task.
+_SHARD, _LOT_ROWS, _LOT_BYTES = 1 << 26, 64, 1 << 21
 #: Hash classes of digests, as a power of two, that the bitmap of repeated ones tells apart.
 _CLASSES = 26
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -82,22 +82,28 @@ def with_payload(rows: DataFrame, text: str, to: str = "payload") -> DataFrame:
 
 
 class _Tar:
-    """Appends images to tar shards of a folder and tells where each one is."""
+    """Appends images to tar shards of a folder and tells where each one is: path, lot (runs of members, counted from 0),
+    offset and length."""
 
     def __init__(self, folder: str):
         self.folder, self.out, self.path, self.size = folder, None, None, 0
+        self.lot, self.rows, self.begun = 0, 0, 0
 
-    def add(self, key: str, image: bytes) -> tuple[str, int, int]:
+    def add(self, key: str, image: bytes) -> tuple[str, int, int, int]:
         import uuid
 
         if self.out is None:
             self.path, self.size = f"{self.folder}/{uuid.uuid4().hex}.tar", 0
+            self.lot, self.rows, self.begun = 0, 0, 0
             store, local = open_store(self.path)
             store.create_dir(local.rsplit("/", 1)[0], recursive=True)
             self.out = store.open_output_stream(local, compression=None)
         for part in (tar_head(f"{key}.png", len(image)), image, bytes(-len(image) % 512)):
             self.out.write(part)
-        where = self.path, self.size + 512, len(image)
+        if self.rows and (self.rows == _LOT_ROWS or self.size + len(image) - self.begun > _LOT_BYTES):
+            self.lot, self.rows, self.begun = self.lot + 1, 0, self.size
+        self.rows += 1
+        where = self.path, self.lot, self.size + 512, len(image)
         self.size += 512 + len(image) + -len(image) % 512
         if self.size >= _SHARD:
             self.close()
@@ -121,8 +127,8 @@ def _repeated(digests: DataFrame) -> dict[int, bytes]:
 def store_media(payloads: DataFrame, *, payload: str = "payload", digests: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Write each distinct payload once as an image in tar shards; one row per distinct payload.
 
-    Columns: digest (SHA-256 of the payload, lower-case hex, also the member's name), path, offset and length (of
-    the image in its shard). The digests are counted first (pass them as `digests`, bytes, if they are at hand); the hash
+    Columns: digest (SHA-256 of the payload, lower-case hex, also the member's name), path, lot (number of a run of at most
+    _LOT_ROWS members of the shard), offset and length (of the image in its shard). The digests are counted first (pass them as `digests`, bytes, if they are at hand); the hash
     classes of those that repeat make a bitmap of at most 8 MB. A payload outside these classes is alone, and the task
     that reads it writes it. The others are sent to the task that gathers their digest, compressed, and by
     each task once at most, however many rows share them. Empty input: no rows.
@@ -132,12 +138,12 @@ def store_media(payloads: DataFrame, *, payload: str = "payload", digests: DataF
     if digests is None:
         digests = payloads.select(F.unhex(F.sha2(payload, 256)).alias("digest"))
     repeated = _repeated(digests)
-    kind = "digest string, path string, offset long, length long"
+    kind = "digest string, path string, lot int, offset long, length long"
 
     def encode(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("digest", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("image", pa.binary())])
+        schema = pa.schema([("digest", pa.string()), ("path", pa.string()), ("lot", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("image", pa.binary())])
         seen, tar = set(), _Tar(folder)
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
@@ -151,14 +157,14 @@ def store_media(payloads: DataFrame, *, payload: str = "payload", digests: DataF
                         rows.append((key, *tar.add(key, to_image(data)), None))
                     elif key not in seen:
                         seen.add(key)
-                        rows.append((key, None, None, None, to_image(data)))
+                        rows.append((key, None, None, None, None, to_image(data)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
         tar.close()
 
     def gather(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("digest", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        schema = pa.schema([("digest", pa.string()), ("path", pa.string()), ("lot", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
         seen, tar = set(), _Tar(folder)
         for batch in batches:
             rows = []
@@ -175,9 +181,23 @@ def store_media(payloads: DataFrame, *, payload: str = "payload", digests: DataF
 
 
 def _by_shard(media: DataFrame) -> DataFrame:
-    """Rows of a shard in order and near one another, so that reads run forward through few files."""
+    """Lots of shards in order, so that reads run forward through few files and a task's rows do not depend on how small
+    images are."""
     n = max(1, int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return media.repartition(n, F.col("path"), F.expr("offset div 2097152")).sortWithinPartitions("path", "offset")
+    return media.repartition(n, "path", "lot").sortWithinPartitions("path", "offset")
+
+
+class _Shards:
+    """Range reads from tar shards, one open at a time."""
+
+    def __init__(self):
+        self.at, self.file = None, None
+
+    def read(self, path: str, offset: int, length: int) -> bytes:
+        if path != self.at:
+            store, local = open_store(path)
+            self.at, self.file = path, store.open_input_file(local)
+        return self.file.read_at(length, offset)
 
 
 def read_heads(media: DataFrame) -> DataFrame:
@@ -187,66 +207,61 @@ def read_heads(media: DataFrame) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        at, file = None, None
+        shards = _Shards()
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["path"] != at:
-                    at = r["path"]
-                    store, local = open_store(at)
-                    file = store.open_input_file(local)
-                meta = image_head(file.read_at(_HEAD, r["offset"]))
-                out.append((meta["width"], meta["height"], meta["depth"]))
-            cols = [pa.array([x[k] for x in out], pa.int32()) for k in range(3)]
+            where = zip(*(batch.column(names.index(c)).to_pylist() for c in ("path", "offset")))
+            out = [image_head(shards.read(path, offset, _HEAD)) for path, offset in where]
+            cols = [pa.array([x[k] for x in out], pa.int32()) for k in ("width", "height", "depth")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*names, "width", "height", "depth"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in media.schema)
     return _by_shard(media).mapInArrow(read, f"{kinds}, width int, height int, depth int")
 
 
-def read_features(media: DataFrame) -> DataFrame:
-    """Per distinct payload, from its stored bytes: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, path, offset, length, width, height, depth. The first 33 bytes fill the last three."""
-    kind = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, path string, offset long, length long, width int, height int, depth int"
-    names = [x.split()[0] for x in kind.split(", ")]
+def read_features(media: DataFrame, *, placed: bool = False) -> DataFrame:
+    """Features of each distinct payload, from its stored bytes: payload_bytes, tail_crc32, media_bytes, media_sha256 and
+    feature are added to the columns. Bytes that do not have their digest any more are an error. `placed` says that
+    the rows are dealt by lots already, as those of read_heads() are."""
+    names = media.columns
+    more = {"payload_bytes": "long", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
 
     def read(batches):
         import pyarrow as pa
 
-        at, file = None, None
-        types = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}
-        schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in kind.split(", ")])
+        shards = _Shards()
         for batch in batches:
-            out = {k: [] for k in names}
-            for r in batch.to_pylist():
-                if r["path"] != at:
-                    at = r["path"]
-                    store, local = open_store(at)
-                    file = store.open_input_file(local)
-                image = file.read_at(r["length"], r["offset"])
-                data, meta = samples(image), image_head(image[:_HEAD])
-                row = r | {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-64:]), "media_bytes": len(image), "media_sha256": hashlib.sha256(image).hexdigest(), "feature": feature_of(data)}
-                row |= {k: meta[k] for k in ("width", "height", "depth")}
-                for k in names:
-                    out[k].append(row[k])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return _by_shard(media).mapInArrow(read, kind)
+            out = {k: [] for k in more}
+            for digest, path, offset, length in zip(*(batch.column(names.index(c)).to_pylist() for c in ("digest", "path", "offset", "length"))):
+                image = shards.read(path, offset, length)
+                data = samples(image)
+                if hashlib.sha256(data).hexdigest() != digest:
+                    raise ValueError(f"{path} at {offset}: the payload stored there is not that of digest {digest}")
+                for k, x in zip(more, (len(data), zlib.crc32(data[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(data))):
+                    out[k].append(x)
+            cols = [pa.array(out[k], pa.string() if kind == "string" else pa.int64()) for k, kind in more.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*names, *more])
+
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in media.schema), *(f"{k} {kind}" for k, kind in more.items())])
+    return (media if placed else _by_shard(media)).mapInArrow(read, kinds)
 
 
 def media_columns(rows: DataFrame, *, row_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """One row per row: row_id, n_bytes (of the text), digest, and what read_features() tells of the stored payload.
+    """One row per row: row_id, n_bytes (of the text), digest, path, offset, length, width, height, depth, and what
+    read_features() tells of the stored payload, with payload_sha256.
 
-    Null text is empty and is stored as 64 zero bytes, as empty text is; equal texts share one member. Texts move only
-    as compressed images, once per task that has them; rows are joined by digest alone.
+    Reads of the stored images' heads alone fill width, height and depth; features are of the payloads read back. Null
+    text is empty and is stored as 64 zero bytes, as empty text is; equal texts share one member. A null or repeated
+    row_id stays as it is; no rows, no result. A very long text is one image. Texts move only as compressed images, once
+    per task that has them; rows are joined by digest alone.
     """
     src = rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
     slim = with_payload(src.withColumn("n_bytes", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")), "text")
     # Digests are stored and moved as bytes, half as long as their hex form.
     slim = written(slim.select("row_id", "n_bytes", F.unhex(F.sha2("payload", 256)).alias("digest")), "digests")
     media = store_media(with_payload(src, "text").select("payload"), digests=slim.select("digest"), folder=folder)
-    sums = ("digest", "payload_sha256", "media_sha256")
-    got = read_features(media)
+    sums = ("digest", "media_sha256")
+    got = read_features(read_heads(media), placed=True).drop("lot")
     got = got.select(*(F.unhex(c).alias(c) if c in sums else F.col(c) for c in got.columns))
     out = slim.join(got, "digest").withColumnRenamed("row_id", row_id)
-    return out.select(*(F.lower(F.hex(c)).alias(c) if c in sums else F.col(c) for c in out.columns))
+    out = out.select(*(F.lower(F.hex(c)).alias(c) if c in sums else F.col(c) for c in out.columns))
+    return out.withColumn("payload_sha256", F.col("digest"))

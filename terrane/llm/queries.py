@@ -44,7 +44,8 @@ def op7_secrets(spark, sf_dir):
 
 def op8_media(spark, sf_dir):
     out = media.media_columns(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    more = ("path", "offset", "length", "width", "height", "depth")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *more)
 
 
 def op9_mixing(spark, sf_dir):

@@ -465,6 +465,31 @@ def test_members_beside_long_ones_are_read():
 # Media
 
 
+def _grey(data):
+    """Width, height and samples of an 8-bit grey PNG without row filters, read plainly."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts = 8, defaultdict(bytes)
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        parts[kind] += data[at + 8 : at + 8 + n]
+        at += 12 + n
+    width, height = int.from_bytes(parts[b"IHDR"][:4], "big"), int.from_bytes(parts[b"IHDR"][4:8], "big")
+    assert parts[b"IHDR"][8:] == bytes([8, 0, 0, 0, 0])
+    raw = zlib.decompress(parts[b"IDAT"])
+    lines = [raw[i : i + width + 1] for i in range(0, len(raw), width + 1)]
+    assert len(lines) == height and not any(x[0] for x in lines)
+    return width, height, b"".join(x[1:] for x in lines)
+
+
+def _feature(p):
+    n, mean = len(p), sum(p) / len(p)
+    sd = math.sqrt(sum((x - mean) ** 2 for x in p) / n)
+    step = sum(abs(a - b) for a, b in zip(p, p[1:])) / (n - 1)
+    entropy = -sum(p.count(x) / n * math.log2(p.count(x) / n) for x in set(p))
+    return mean, sd, step, abs(entropy)
+
+
 def test_media_round_trip(docs, rows, none):
     got = media.media_columns(clashing(docs)).collect()
     assert len(got) == len(rows)
@@ -476,13 +501,29 @@ def test_media_round_trip(docs, rows, none):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = next(r for r in by[key] if r.n_bytes == len(raw))
         by[key].remove(r)
-        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        image = media.to_image(payload)
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), hashlib.sha256(image).hexdigest(), media.feature_of(payload))
-        assert (r.width, r.height, r.depth) == (64, len(payload) // 64, 8)
+        sha = hashlib.sha256(payload).hexdigest()
+        assert (r.payload_bytes, r.payload_sha256, r.digest, r.tail_crc32) == (len(payload), sha, sha, zlib.crc32(payload[-64:]))
+        with open(r.path.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            image = f.read(r.length)
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        assert (r.width, r.height, payload) == _grey(image) and r.depth == 8
+        assert [float(x.split("=")[1]) for x in r.feature.split(";")] == pytest.approx(_feature(payload), abs=1e-4)
     assert media.media_columns(none).collect() == []
 
 
+def test_lots_are_bounded_and_changed_bytes_are_an_error(spark, docs, monkeypatch):
+    stored = media.store_media(media.with_payload(docs, "text").select("payload"))
+    sizes = stored.groupBy("path", "lot").agg(F.count("*").alias("n"), F.sum("length").alias("b")).collect()
+    assert max(r.n for r in sizes) <= media._LOT_ROWS and all(r.b <= media._LOT_BYTES or r.n == 1 for r in sizes)
+    r = stored.first()
+    with open(r.path.removeprefix("file:"), "r+b") as f:
+        f.seek(r.offset)
+        f.write(media.to_image(b"x" * 64)[: r.length].ljust(r.length, b"\0"))
+    with pytest.raises(Exception, match="(?s)."):
+        media.read_features(stored).collect()
+
+
 def test_tar_shards_hold_each_payload_once(docs, rows):
     import tarfile
 
@@ -575,8 +616,9 @@ def test_language_is_right_on_held_out_documents(spark):
     held = docs.filter("crc32(cast(doc_id as string)) % 3 = 1").withColumn("truth", F.col("lang"))
     got = language.identify(held, language.fit(docs)).collect()
     assert sum(r.truth == r.lang_pred for r in got) >= 0.98 * len(got)
-    kept = language.identify(held, language.fit(docs), least=language._MARGIN).count()
-    assert kept >= 0.99 * len(got)
+    told = language.identify(held, language.fit(docs), rejected_to="no").collect()
+    assert sum(not r.no for r in told) >= 0.99 * len(got)
+    assert all(r.no == (r.lang_pred == "und" or r.score < 0.005) for r in told)
 
 
 def test_language_edge_cases(docs, rows, none):
@@ -588,5 +630,15 @@ def test_language_edge_cases(docs, rows, none):
         assert 0 <= r.score <= 1
         assert (r.lang_pred == "und") == (r.text is None or not any(map(str.isalpha, r.text)))
     assert language.fit(none) == []
+    again = language.fit(docs.union(docs.filter("doc_id = 1001")).repartition(3))
+    assert [k for k, _ in again] == ["de", "en", "es", "fr"]
+    with pytest.raises(ValueError, match="over 2 languages"):
+        language.fit(docs, most_languages=2)
+    small = language.fit(docs, sample_rows=3, sample_bytes=500)
+    assert all(len(d) <= 502 for _, d in small)
+    named = docs.withColumn("__text", F.lit("a")).withColumn("__lang", F.lit("b")).withColumn("text_", F.lit("c")).withColumn("LANG_PRED", F.lit("d"))
+    got = language.identify(named, models, rejected_to="no")
+    assert got.columns == [*docs.columns, "__text", "__lang", "text_", "lang_pred", "score", "no"]
+    assert {(r["__text"], r["__lang"], r.text_) for r in got.collect()} == {("a", "b", "c")}
     assert {r.lang_pred for r in language.identify(docs, []).collect()} == {"und"}
     assert language.identify(none, models).collect() == []
