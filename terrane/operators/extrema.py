@@ -7,8 +7,9 @@ from itertools import count
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..checkpoints import cut
 from ..graph import Graph
-from .fixpoint import distances, hops
+from .fixpoint import hops, nearest
 
 
 def edge_values(graph: Graph, field: DataFrame) -> DataFrame:
@@ -71,10 +72,8 @@ def hop_index(graph: Graph, field: DataFrame, extrema: DataFrame, most: int | No
     Levels are searched only for extrema that have met none yet, and vertices of their last level only go on.
     """
     open_ = extrema.select(F.col("v").alias("ref"), "type", F.col("y").alias("own"))
-    found, front, seen = [], open_.select("ref", F.col("ref").alias("v")), None
-    from ..checkpoints import cut
-
-    seen = front = cut(front)
+    found = []
+    seen = front = cut(open_.select("ref", F.col("ref").alias("v")))
     for h in count(1) if most is None else range(1, most + 1):
         nxt = front.join(graph.edges, front.v == graph.edges.src).select("ref", F.col("dst").alias("v")).distinct()
         nxt = cut(nxt.join(seen, ["ref", "v"], "left_anti"))
@@ -155,44 +154,68 @@ def local_extrema(graph: Graph, field: DataFrame, min_size: int = 1) -> DataFram
     if min_size <= 1:
         return both.withColumn("n_basin", F.lit(1).cast("long"))
     starts = both.select(F.col("v").alias("ref"), "v").distinct()
-    near = distances(graph.edges, starts, hops=min_size - 1)
-    rank = Window.partitionBy("ref").orderBy("dist", "v")
-    near = near.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= min_size).join(field.withColumnRenamed("y", "yv"), "v")
+    near = nearest(graph.edges, starts, min_size).join(field.withColumnRenamed("y", "yv"), "v")
     bad = F.expr("(type = 'max' and yv > y) or (type = 'min' and yv < y)")
     per = both.withColumnRenamed("v", "ref").join(near, "ref").groupBy("ref", "type", "y").agg(F.count("*").alias("n_basin"), F.max(bad).alias("bad"))
     return per.filter((F.col("n_basin") == min_size) & ~F.col("bad")).select(F.col("ref").alias("v"), "type", "y", "n_basin")
 
 
 def radius_extrema(graph: Graph, field: DataFrame, max_radius: float, min_size: int, maxima: bool = True) -> DataFrame:
-    """(v, y, radius, size): vertices whose nearest vertices within max_radius, by distance, are strictly below (above)
-    until the first violation, at least min_size of them; radius is the distance of the last of these.
+    """(v, y, radius, size): vertices whose nearest vertices within max_radius, by (distance, vertex), are strictly below
+    (above) until the first violation, at least min_size (1 or more) of them; radius is the distance of the last of these.
 
-    The set of vertices is distinct and ends at the first violation.
+    Every vertex is tried, not only local extrema: a violation may lie behind a long edge. A search goes on from
+    vertices that are below only and ends at the distance of the nearest violation, so it stays small: a vertex before
+    the first violation has none on its shortest path.
     """
-    e = strict_extrema(graph, field, isolated_minimum=False)
-    starts = e.filter("is_max" if maxima else "is_min").select(F.col("v").alias("ref"), "v")
-    near = distances(graph.edges, starts, reach=max_radius).filter("v <> ref").join(field.withColumnRenamed("y", "yv"), "v")
-    near = near.join(field.select(F.col("v").alias("ref"), "y"), "ref")
-    bad = F.col("yv") >= F.col("y") if maxima else F.col("yv") <= F.col("y")
+    values = field.select("v", F.col("y").alias("yv"))
+    bad = F.col("yv") >= F.col("own") if maxima else F.col("yv") <= F.col("own")
+    best = cut(field.select(F.col("v").alias("ref"), "v", F.lit(0.0).alias("dist"), F.col("y").alias("own"), F.lit(False).alias("bad"), F.lit(True).alias("new")))
+    one = Window.partitionBy("ref", "v").orderBy("dist", "new")
+    every = Window.partitionBy("ref")
+    while True:
+        out = best.filter("new and not bad").select("ref", "v", "dist", "own").join(graph.edges, F.col("v") == F.col("src")).select("ref", F.col("dst").alias("v"), (F.col("dist") + F.col("len")).alias("dist"), "own")
+        out = out.filter((F.col("dist") <= max_radius) & (F.col("v") != F.col("ref"))).groupBy("ref", "v", "own").agg(F.min("dist").alias("dist"))
+        out = out.join(values, "v").select("ref", "v", "dist", "own", bad.alias("bad"), F.lit(True).alias("new"))
+        both = best.withColumn("new", F.lit(False)).unionByName(out).withColumn("rn", F.row_number().over(one)).filter("rn = 1").drop("rn")
+        best = cut(both.withColumn("limit", F.min(F.when(F.col("bad"), F.col("dist"))).over(every)).filter("limit is null or dist <= limit").drop("limit"))
+        if best.filter("new").isEmpty():
+            break
     upto = Window.partitionBy("ref").orderBy("dist", "v")
-    good = near.withColumn("failed", F.max(F.when(bad, 1).otherwise(0)).over(upto)).filter("failed = 0")
-    return good.groupBy(F.col("ref").alias("v"), "y").agg(F.max("dist").alias("radius"), F.count("*").alias("size")).filter(F.col("size") >= min_size)
+    good = best.filter("v <> ref").withColumn("failed", F.max(F.col("bad").cast("int")).over(upto)).filter("failed = 0")
+    return good.groupBy(F.col("ref").alias("v"), F.col("own").alias("y")).agg(F.max("dist").alias("radius"), F.count("*").alias("size")).filter(F.col("size") >= min_size)
 
 
-def probable_radius(graph: Graph, field: DataFrame, density: DataFrame, p: float, maxima: bool = True, max_hop: int = 20) -> DataFrame:
+def probable_radius(graph: Graph, field: DataFrame, density: DataFrame, p: float, maxima: bool = True, max_hop: int | None = None) -> DataFrame:
     """(v, y, hop_radius): the last hop up to which the density share of vertices below (above) stays at least p.
 
-    Strict local extrema only; null for vertices within 1e-14 of the global extremum, whose radius is unbounded.
+    Strict local extrema only; null for vertices within 1e-14 of the global extremum, whose radius is unbounded. A search
+    ends where the share falls below p or the density met is 0, or at max_hop if that is named; one that runs out of
+    vertices counts the hop that finds none.
     """
     e = strict_extrema(graph, field, isolated_minimum=False).filter("is_max" if maxima else "is_min").select("v", "y")
     top = field.agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
-    e = e.crossJoin(F.broadcast(top)).withColumn("global", F.abs(F.col("y") - F.col("hi" if maxima else "lo")) <= 1e-14 * F.greatest(F.abs("hi"), F.abs("lo"))).select("v", "y", "global")
-    starts = e.filter("not global").select(F.col("v").alias("ref"), "v")
-    lv = hops(graph.edges, starts, most=max_hop).filter("hop > 0").join(field.withColumnRenamed("y", "yv"), "v").join(density.select("v", "density"), "v")
-    lv = lv.join(e.select(F.col("v").alias("ref"), "y"), "ref")
-    good = F.col("yv") < F.col("y") if maxima else F.col("yv") > F.col("y")
-    per = lv.groupBy("ref", "hop").agg(F.sum("density").alias("t"), F.sum(F.when(good, F.col("density")).otherwise(0.0)).alias("s"))
-    by = Window.partitionBy("ref").orderBy("hop")
-    per = per.withColumn("ok", F.coalesce(F.sum("s").over(by) / F.sum("t").over(by) >= p, F.lit(False))).withColumn("run", F.min(F.col("ok").cast("int")).over(by))
-    last = per.filter("run = 1").groupBy(F.col("ref").alias("v")).agg(F.max("hop").alias("r"))
+    e = cut(e.crossJoin(F.broadcast(top)).withColumn("global", F.abs(F.col("y") - F.col("hi" if maxima else "lo")) <= 1e-14 * F.greatest(F.abs("hi"), F.abs("lo"))).select("v", "y", "global"))
+    good = F.col("yv") < F.col("own") if maxima else F.col("yv") > F.col("own")
+    zero = F.lit(0.0)
+    open_ = cut(e.filter("not global").select(F.col("v").alias("ref"), F.col("y").alias("own"), zero.alias("t"), zero.alias("s")))
+    seen = front = cut(open_.select("ref", F.col("ref").alias("v")))
+    done, values = [], field.select("v", F.col("y").alias("yv")).join(density.select("v", "density"), "v")
+    for h in count(1) if max_hop is None else range(1, max_hop + 1):
+        nxt = front.join(graph.edges, front.v == graph.edges.src).select("ref", F.col("dst").alias("v")).distinct()
+        nxt = cut(nxt.join(seen, ["ref", "v"], "left_anti"))
+        met = nxt.join(values, "v").join(open_.select("ref", "own"), "ref").groupBy("ref").agg(F.sum("density").alias("dt"), F.sum(F.when(good, F.col("density")).otherwise(0.0)).alias("ds"))
+        state = open_.join(met, "ref", "left").select("ref", "own", (F.col("t") + F.coalesce("dt", zero)).alias("t"), (F.col("s") + F.coalesce("ds", zero)).alias("s"), F.col("dt").isNull().alias("over"))
+        state = cut(state.withColumn("ok", F.coalesce((F.col("t") >= 2.220446049250313e-16) & (F.col("s") / F.col("t") >= p), F.lit(False))))
+        done.append(state.filter("over or not ok").select("ref", F.when(F.col("ok"), h).otherwise(h - 1).alias("r")))
+        open_ = state.filter("ok and not over").select("ref", "own", "t", "s")
+        if open_.isEmpty():
+            break
+        front = cut(nxt.join(open_, "ref", "left_semi"))
+        seen = cut(seen.join(open_, "ref", "left_semi").union(front))
+        if h % 16 == 0:  # Long searches keep short plans.
+            done = [cut(reduce(DataFrame.union, done))]
+    if max_hop is not None:
+        done.append(open_.select("ref", F.lit(max_hop).alias("r")))
+    last = reduce(DataFrame.union, done).select(F.col("ref").alias("v"), "r")
     return e.join(last, "v", "left").select("v", "y", F.when(~F.col("global"), F.coalesce("r", F.lit(0))).alias("hop_radius"))

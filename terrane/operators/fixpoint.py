@@ -44,6 +44,40 @@ def roots(pointers: DataFrame, v: str = "v", to: str = "next") -> DataFrame:
             return at
 
 
+def jumps(pointers: DataFrame, v: str = "v", to: str = "next") -> list[DataFrame]:
+    """Tables (v, to) of 1, 2, 4, 8 .. steps along `to`, until no vertex has so many; vertices with fewer are left out.
+
+    Pointers must not form a cycle. There are as many tables as the longest walk's length has binary digits.
+    """
+    out = []
+    at = cut(pointers.filter(F.col(to).isNotNull()).select(F.col(v).alias("v"), F.col(to).alias("to")))
+    while not at.isEmpty():
+        out.append(at)
+        far = at.select(F.col("v").alias("to"), F.col("to").alias("far"))
+        at = cut(at.join(far, "to").select("v", F.col("far").alias("to")))
+    return out
+
+
+def walked(steps: list[DataFrame], starts: DataFrame) -> DataFrame:
+    """(v): all vertices on the walks from starts (v), themselves included, by tables of jumps()."""
+    at = starts.select("v").distinct()
+    for step in steps:
+        at = cut(at.union(at.join(step, "v").select(F.col("to").alias("v"))).distinct())
+    return at
+
+
+def walks(steps: list[DataFrame], starts: DataFrame) -> DataFrame:
+    """(start, pos, v): the walk from each of starts (v), itself at position 0, by tables of jumps().
+
+    Each round doubles the part of the walks that is known, so long walks take few rounds.
+    """
+    at = starts.select(F.col("v").alias("start"), F.lit(0).cast("long").alias("pos"), "v")
+    for k, step in enumerate(steps):
+        on = at.join(step, "v").select("start", (F.col("pos") + (1 << k)).alias("pos"), F.col("to").alias("v"))
+        at = cut(at.union(on))
+    return at
+
+
 def distances(edges: DataFrame, starts: DataFrame, reach: float | None = None, hops: int | None = None) -> DataFrame:
     """(ref, v, dist, pred): shortest distances from starts (ref, v), by rounds over the frontier.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..checkpoints import cut
 from ..graph import Graph
 from .extrema import edge_length_quantile, edge_values, strict_extrema
-from .fixpoint import components, roots
+from .fixpoint import components, jumps, roots, walked, walks
 
 
 def length_weight(graph: Graph, bandwidth: float = -1.0, bins: int | None = None) -> DataFrame:
@@ -45,13 +45,13 @@ def default_density(graph: Graph) -> DataFrame:
     return d.select("v", (F.col("d") / F.max("d").over(Window.partitionBy())).alias("density"))
 
 
-def next_vertex(graph: Graph, field: DataFrame, up: bool = True, modulation: str = "closest", q: float = 0.9, fallback: str = "allow_and_flag", density: DataFrame | None = None) -> DataFrame:
+def next_vertex(graph: Graph, field: DataFrame, up: bool = True, modulation: str = "closest", q: float = 0.9, fallback: str = "allow_and_flag", density: DataFrame | None = None, bins: int | None = None) -> DataFrame:
     """(v, next, len, long_edge): where the flow goes from each vertex; next is null at its ends.
 
     `closest`: the shortest strictly improving edge up to the q-quantile of lengths, ties to the smallest vertex; where
     there is none, the shortest improving one of any length, flagged (not if fallback is `forbid`). Other modulations
     (`none`, `density`, `edgelen`, `density_edgelen`) take the best gain times weights among edges up to the quantile, ties to the
-    smallest vertex, without a fallback.
+    smallest vertex, without a fallback. `bins` is that of length_weight().
     """
     e = edge_values(graph, field).withColumn("gain", F.col("yd") - F.col("ys") if up else F.col("ys") - F.col("yd")).filter("gain > 0")
     e = e.crossJoin(F.broadcast(edge_length_quantile(graph, q)))
@@ -66,7 +66,7 @@ def next_vertex(graph: Graph, field: DataFrame, up: bool = True, modulation: str
             rho = default_density(graph) if density is None else density
             e = e.join(rho.select(F.col("v").alias("dst"), "density"), "dst").withColumn("score", F.col("score") * F.col("density"))
         if "edgelen" in modulation:
-            e = e.join(length_weight(graph), ["src", "dst"]).withColumn("score", F.col("score") * F.col("w"))
+            e = e.join(length_weight(graph, bins=bins), ["src", "dst"]).withColumn("score", F.col("score") * F.col("w"))
         best = e.groupBy(F.col("src").alias("v")).agg(F.min(F.struct((-F.col("score")).alias("s"), "dst", "len")).alias("b"))
         pick = best.select("v", F.col("b.dst").alias("next"), F.col("b.len").alias("len"), F.lit(False).alias("long_edge"))
     return graph.vertices.join(pick, "v", "left").select("v", "next", "len", F.coalesce("long_edge", F.lit(False)).alias("long_edge"))
@@ -119,43 +119,47 @@ def plateau_flow(graph: Graph, field: DataFrame, up: bool = True, q: float = 0.9
     return vs.select("v", "plateau", step.alias("next"), "root"), tops.select("plateau", "source", "target", "len", "root")
 
 
-def trajectories(pointers: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
-    """(seed, path): vertices from each seed along (v, next), by rounds that extend the paths that go on."""
-    at = cut(seeds.select(F.col("v").alias("seed"), F.col("v").alias("at"), F.array("v").alias("path")))
-    done = None
-    hop = pointers.select(F.col("v").alias("at"), "next")
-    for _ in range(most):
-        far = cut(at.join(hop, "at", "left"))
-        ended = far.filter("next is null").select("seed", "path")
-        done = ended if done is None else done.union(ended)
-        at = far.filter("next is not null").select("seed", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
-        if at.isEmpty():
-            break
-    return done
+def _paths(steps: list[DataFrame], seeds: DataFrame) -> DataFrame:
+    """(seed, path) from each of seeds (v), by tables of jumps()."""
+    on = walks(steps, seeds.select("v")).groupBy(F.col("start").alias("seed"))
+    return on.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("path"))
 
 
-def trajectory_membership(graph: Graph, field: DataFrame, modulation: str = "closest", q: float = 0.9) -> tuple[DataFrame, DataFrame]:
+def trajectories(pointers: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, path): vertices from each seed along (v, next) to its end, however long, by rounds that double."""
+    return _paths(jumps(pointers), seeds)
+
+
+def trajectory_membership(graph: Graph, field: DataFrame, modulation: str = "closest", q: float = 0.9, symmetric: bool = True) -> tuple[DataFrame, DataFrame]:
     """Trajectory flow: (trajectories, membership).
 
-    Each minimum ascends; each vertex that no such path covers descends and ascends, and the two ends join. The
-    paths (traj_id, min, max, path, total_change) whose ends are true extrema give every vertex on them to both ends'
-    basins: membership (v, direction, extremum). Vertices left over are seeds by rising value; all of them
-    send their joined path at once instead of one after another, so a later seed on an earlier path repeats it only
-    in part, which leaves membership the same.
+    Each minimum ascends; each maximum descends (if symmetric); each vertex that none of these paths covers, by rising
+    value, descends and ascends, and the two ends join, unless a vertex before it has covered it. Only paths whose ends
+    are a true minimum and a true maximum count and cover. The paths (traj_id, the seed; min, max, path, total_change)
+    give every vertex on them to both ends' basins: membership (v, direction, extremum).
+
+    The order of the last kind needs no pass over the vertices: a joined path covers what is above its seed on the way up
+    (what is below it came earlier). So a vertex is covered before its turn if and only if, among the vertices
+    whose ascent leads through it, there is one that was open and has true ends: the lowest such one is a seed.
     """
     e = cut(strict_extrema(graph, field, isolated_minimum=False))
     up = cut(next_vertex(graph, field, True, modulation, q).select("v", "next"))
     down = cut(next_vertex(graph, field, False, modulation, q).select("v", "next"))
-    first = trajectories(up, e.filter("is_min").select("v"))
-    covered = first.select(F.explode("path").alias("v")).distinct()
-    left = graph.vertices.join(covered, "v", "left_anti")
-    rise = trajectories(up, left).withColumnRenamed("path", "p_up")
-    fall = trajectories(down, left).withColumnRenamed("path", "p_down")
-    joined = rise.join(fall, "seed").select("seed", F.concat(F.reverse("p_down"), F.expr("slice(p_up, 2, size(p_up))")).alias("path"))
-    paths = cut(first.union(joined).select("seed", "path", F.element_at("path", 1).alias("min"), F.element_at("path", -1).alias("max")).filter("size(path) > 1"))
-    ends = e.select("v", "is_min", "is_max", "y")
-    ok = paths.join(ends.filter("is_min").select(F.col("v").alias("min"), F.col("y").alias("y0")), "min").join(ends.filter("is_max").select(F.col("v").alias("max"), F.col("y").alias("y1")), "max")
-    ok = cut(ok.select(F.col("seed").alias("traj_id"), "min", "max", "path", (F.col("y1") - F.col("y0")).alias("total_change")))
+    rise, fall = jumps(up), jumps(down)
+    tops = e.filter("is_max").select(F.col("v").alias("max"), F.col("y").alias("y1"))
+    lows = e.filter("is_min").select(F.col("v").alias("min"), F.col("y").alias("y0"))
+    ends = roots(up).select("v", F.col("root").alias("max")).join(roots(down).select("v", F.col("root").alias("min")), "v")
+    ends = cut(ends.join(tops, "max").join(lows, "min").select("v", "min", "max", (F.col("y1") - F.col("y0")).alias("total_change")))
+    first = ends.filter("v = min").select("v")
+    second = ends.filter("v = max").select("v") if symmetric else first.limit(0)
+    covered = walked(rise, first).union(walked(fall, second))
+    left = cut(ends.select("v").join(covered, "v", "left_anti"))
+    above = walked(rise, left.join(rise[0], "v").select(F.col("to").alias("v"))) if rise else left.limit(0)
+    third = cut(left.join(above, "v", "left_anti"))
+    ascents = _paths(rise, first.union(third))
+    descents = _paths(fall, second.union(third)).select("seed", F.reverse("path").alias("fall"))
+    whole = ascents.join(descents, "seed", "full").select("seed", F.when(F.col("fall").isNull(), F.col("path")).when(F.col("path").isNull(), F.col("fall")).otherwise(F.concat("fall", F.expr("slice(path, 2, size(path))"))).alias("path"))
+    ok = cut(whole.join(ends, whole.seed == ends.v).select(F.col("seed").alias("traj_id"), "min", "max", "path", "total_change"))
     on = ok.select("min", "max", F.explode("path").alias("v"))
     member = on.select("v", F.lit("max").alias("direction"), F.col("max").alias("extremum")).union(on.select("v", F.lit("min"), "min")).distinct()
     return ok, member

@@ -49,6 +49,20 @@ def _fields(spark, sf_dir):
     return I.component(spark, sf_dir, 0), I.component(spark, sf_dir, 1)
 
 
+def _sp(starts: str, where: str = "true", name: str = "sp", edges: str = "edges") -> str:
+    """Shortest distances from starts (v): name(ref, v, dist)."""
+    return f""",
+{name}(ref, v, dist) USING KEY (ref, v) AS (SELECT v, v, 0.0::DOUBLE FROM {starts} UNION SELECT s.ref, e.dst, min(s.dist + e.len) FROM {name} s JOIN {edges} e ON e.src = s.v
+  LEFT JOIN recurring.{name} r ON r.ref = s.ref AND r.v = e.dst WHERE (r.dist IS NULL OR s.dist + e.len < r.dist) AND {where} GROUP BY s.ref, e.dst)"""
+
+
+def _bfs(starts: str, name: str = "lv", edges: str = "edges") -> str:
+    """Hops from starts (v): name(ref, v, hop)."""
+    return f""",
+{name}(ref, v, hop) USING KEY (ref, v) AS (SELECT v, v, 0 FROM {starts} UNION SELECT l.ref, e.dst, min(l.hop + 1) FROM {name} l JOIN {edges} e ON e.src = l.v
+  LEFT JOIN recurring.{name} r ON r.ref = l.ref AND r.v = e.dst WHERE r.hop IS NULL GROUP BY l.ref, e.dst)"""
+
+
 # Graphs
 
 
@@ -289,12 +303,27 @@ def local_extrema(spark, sf_dir):
     return _rounded(X.local_extrema(I.knn(spark, sf_dir), _quantised(spark, sf_dir)))
 
 
-@_register()
+@_register(
+    _knn(
+        """SELECT ref AS v, type, round(own, 9) + 0.0 AS y, count(*) AS n_basin FROM (SELECT n.ref, w.type, w.own, CASE w.type WHEN 'max' THEN f.y > w.own ELSE f.y < w.own END AS bad
+  FROM (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY ref ORDER BY dist, v) <= 6) n JOIN weak w ON w.v = n.ref JOIN fy f ON f.v = n.v) GROUP BY ALL HAVING count(*) = 6 AND NOT bool_or(bad)""".replace("GROUP BY ALL", "GROUP BY ref, type, own"),
+        _NEAR + ",\nweak AS MATERIALIZED (SELECT f.v, 'max' AS type, y AS own FROM fy f JOIN nb ON src = f.v WHERE hi <= y UNION ALL SELECT f.v, 'min', y FROM fy f JOIN nb ON src = f.v WHERE lo >= y)" + _sp("(SELECT DISTINCT v FROM weak)"),
+        True,
+    )
+)
 def local_extrema_sized(spark, sf_dir):
-    return X.local_extrema(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), 6)
+    return _rounded(X.local_extrema(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), 6))
 
 
-@_register()
+@_register(
+    _knn(
+        """SELECT ref AS v, round(own, 9) + 0.0 AS y, round(max(dist), 9) + 0.0 AS radius, count(*) AS size FROM (
+  SELECT s.ref, s.dist, a.y AS own, sum(CASE WHEN b.y >= a.y THEN 1 ELSE 0 END) OVER (PARTITION BY s.ref ORDER BY s.dist, s.v) AS failed FROM sp s JOIN fy a ON a.v = s.ref JOIN fy b ON b.v = s.v WHERE s.v <> s.ref)
+WHERE failed = 0 GROUP BY ref, own HAVING count(*) >= 4""",
+        _sp("vertices", "s.dist + e.len <= 12"),
+        True,
+    )
+)
 def radius_extrema(spark, sf_dir):
     return _rounded(X.radius_extrema(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), 12.0, 4))
 
@@ -310,16 +339,16 @@ def neighbour_share(spark, sf_dir):
 
 _HOPS = (
     _EXT
+    + _bfs("ext")
     + """,
-lv(ref, v, hop) AS (SELECT v, v, 0 FROM ext UNION SELECT l.ref, e.dst, l.hop + 1 FROM lv l JOIN edges e ON e.src = l.v WHERE l.hop < 8),
 idx AS MATERIALIZED (SELECT x.v, x.type, x.y, min(h.hop) AS hop_idx FROM ext x LEFT JOIN (SELECT l.ref, l.hop, f.y, e.type, e.y AS own FROM lv l JOIN fy f ON f.v = l.v JOIN ext e ON e.v = l.ref
-  WHERE l.hop > 0 AND l.v <> l.ref AND ((e.type = 'max' AND f.y >= e.y) OR (e.type = 'min' AND f.y <= e.y))) h ON h.ref = x.v GROUP BY ALL)"""
+  WHERE l.hop > 0 AND ((e.type = 'max' AND f.y >= e.y) OR (e.type = 'min' AND f.y <= e.y))) h ON h.ref = x.v GROUP BY ALL)"""
 )
 
 
 def _indexed(spark, sf_dir):
     g, y = I.knn(spark, sf_dir), I.component(spark, sf_dir, 0)
-    return X.hop_index(g, y, X.extrema_table(g, y), 8)
+    return X.hop_index(g, y, X.extrema_table(g, y))
 
 
 @_register(_knn(f"SELECT v, type, {_r('y')} AS y, hop_idx::INT AS hop_idx FROM idx", _HOPS, True))
@@ -382,7 +411,18 @@ def index_distribution(spark, sf_dir):
     return _rounded(X.index_distribution(_indexed(spark, sf_dir)))
 
 
-@_register()
+@_register(
+    _knn(
+        f"""SELECT x.v, {_r('x.y')} AS y, CASE WHEN x.y <> (SELECT max(y) FROM fy) THEN coalesce(min(s.hop) FILTER (NOT s.ok) - 1, max(s.hop) + 1, 0) END::INT AS hop_radius FROM top x LEFT JOIN share s ON s.ref = x.v GROUP BY x.v, x.y""",
+        _EXT
+        + ",\ntop AS MATERIALIZED (SELECT v, y FROM ext WHERE type = 'max')"
+        + _bfs("top")
+        + """,
+ring AS (SELECT l.ref, l.hop, sum(1 + l.v % 5) AS t, sum(CASE WHEN f.y < x.y THEN 1 + l.v % 5 ELSE 0 END) AS s FROM lv l JOIN fy f ON f.v = l.v JOIN top x ON x.v = l.ref WHERE l.hop > 0 GROUP BY ALL),
+share AS MATERIALIZED (SELECT ref, hop, (sum(s) OVER w)::DOUBLE / sum(t) OVER w >= 0.8 AS ok FROM ring WINDOW w AS (PARTITION BY ref ORDER BY hop))""",
+        True,
+    )
+)
 def probable_radius(spark, sf_dir):
     return _rounded(X.probable_radius(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), I.density(spark, sf_dir), 0.8))
 
@@ -456,9 +496,39 @@ def plateau_flow(spark, sf_dir):
     return W.plateau_flow(I.knn(spark, sf_dir), _quantised(spark, sf_dir))[0]
 
 
-@_register()
+def _walk_sql(name: str, better: str) -> str:
+    """Walks by the shortest improving edge: name_next(src, dst), name_walk(v, pt, k), name_end(v, pt)."""
+    return f""",
+{name}_next AS MATERIALIZED (SELECT src, dst FROM ev, lim WHERE {better} QUALIFY row_number() OVER (PARTITION BY src ORDER BY len > q, len, dst) = 1),
+{name}_walk(v, pt, k) AS (SELECT v, v, 0 FROM vertices UNION ALL SELECT w.v, n.dst, w.k + 1 FROM {name}_walk w JOIN {name}_next n ON n.src = w.pt),
+{name}_end AS MATERIALIZED (SELECT w.v, w.pt FROM {name}_walk w ANTI JOIN {name}_next n ON n.src = w.pt)"""
+
+
+_TRAJECTORIES = (
+    _EXT
+    + _LIMIT
+    + _walk_sql("up", "yd > ys")
+    + _walk_sql("dn", "yd < ys")
+    + """,
+ends AS MATERIALIZED (SELECT u.v, d.pt AS mn, u.pt AS mx FROM up_end u JOIN dn_end d USING (v) JOIN ext a ON a.v = u.pt AND a.type = 'max' JOIN ext b ON b.v = d.pt AND b.type = 'min'),
+covered AS MATERIALIZED (SELECT DISTINCT pt FROM up_walk JOIN ends USING (v) WHERE v = mn UNION SELECT DISTINCT pt FROM dn_walk JOIN ends USING (v) WHERE v = mx),
+open_ AS MATERIALIZED (SELECT v FROM ends ANTI JOIN covered ON pt = v),
+joins AS MATERIALIZED (SELECT v FROM open_ ANTI JOIN (SELECT w.pt FROM up_walk w JOIN open_ o ON o.v = w.v WHERE w.k > 0) x ON x.pt = open_.v),
+seeds AS MATERIALIZED (SELECT v FROM ends WHERE v = mn OR v = mx UNION SELECT v FROM joins),
+onpath AS MATERIALIZED (SELECT w.v, w.pt, w.k FROM up_walk w JOIN seeds USING (v) UNION ALL SELECT w.v, w.pt, -w.k FROM dn_walk w JOIN seeds USING (v) WHERE w.k > 0)"""
+)
+
+
+@_register(
+    _knn(
+        f"SELECT s.v AS traj_id, any_value(mn) AS min, any_value(mx) AS max, string_agg(p.pt, ',' ORDER BY p.k) AS path, {_r('any_value(h.y - l.y)')} AS total_change FROM seeds s JOIN ends USING (v) JOIN onpath p USING (v) JOIN fy h ON h.v = mx JOIN fy l ON l.v = mn GROUP BY s.v",
+        _TRAJECTORIES,
+        True,
+    )
+)
 def trajectory_flow(spark, sf_dir):
-    return _rounded(W.trajectory_membership(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0))[0])
+    paths = W.trajectory_membership(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0))[0]
+    return _rounded(paths.withColumn("path", F.concat_ws(",", "path")))
 
 
 # Membership, cells, polarity, overlap
@@ -683,13 +753,29 @@ def set_boundary(spark, sf_dir):
     return B.boundary(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0).filter("y > 0").select("v"))
 
 
-@_register()
+@_register(
+    _knn(
+        f"SELECT v, c.extremum, {_r('dist')} AS dist FROM (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY v ORDER BY dist, ref) = 1) s JOIN cov c ON c.u = s.ref",
+        _BT + ",\ncov AS MATERIALIZED (SELECT s.v AS u, max(s.extremum) AS extremum FROM spread s JOIN (SELECT DISTINCT extremum FROM bt WHERE size >= 60) b USING (extremum) WHERE s.direction = 'max' GROUP BY s.v)" + _sp("(SELECT u AS v FROM cov)"),
+        True,
+    )
+)
 def expand_to_cover(spark, sf_dir):
     g, y, m, b = _basins(spark, sf_dir)
     return _rounded(B.expand_to_cover(g, B.keep(m, B.filter_support(b, m, 60)), "max"))
 
 
-@_register()
+@_register(
+    _knn(
+        f"SELECT direction, extremum, {_r('value')} AS value, size FROM bt JOIN geo ON geo.v = extremum WHERE pn < 0.9 AND ph < 0.9 AND pd <= 0.9",
+        _BT
+        + """,
+two AS (SELECT a.src, b.dst, min(a.len + b.len) AS len FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY a.src, b.dst),
+far AS MATERIALIZED (SELECT src AS v, avg(len) AS m FROM two t WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = t.src AND e.dst = t.dst) GROUP BY src),
+geo AS MATERIALIZED (SELECT v, cume_dist() OVER (ORDER BY n) AS pn, cume_dist() OVER (ORDER BY m NULLS FIRST) AS ph, cume_dist() OVER (ORDER BY d DESC) AS pd FROM (SELECT src AS v, avg(len) AS n, count(*) AS d FROM edges GROUP BY src) LEFT JOIN far USING (v))""",
+        True,
+    )
+)
 def filter_geometry(spark, sf_dir):
     g, _, _, b = _basins(spark, sf_dir)
     return _rounded(B.filter_geometry(b, B.geometry(g), 0.9, 0.9, 0.9))
@@ -793,14 +879,34 @@ def hop_distances(spark, sf_dir):
     return hops(g.edges, g.vertices.filter("v % 50 = 0").select(F.col("v").alias("ref"), "v"), 6)
 
 
-@_register()
+_LINE = (
+    _sp("(SELECT 0 AS v)", name="sa")
+    + """,
+line(v, k) AS (SELECT 99, 0 UNION ALL SELECT p.src, p.k FROM (SELECT e.src, l.k + 1 AS k, row_number() OVER (PARTITION BY l.v ORDER BY e.src) AS rn FROM line l JOIN sa d ON d.v = l.v JOIN edges e ON e.dst = l.v JOIN sa p ON p.v = e.src WHERE p.dist + e.len = d.dist AND l.v <> 0) p WHERE rn = 1),
+path AS MATERIALIZED (SELECT (SELECT max(k) FROM line) - k AS position, v, dist FROM line JOIN sa USING (v))"""
+)
+
+
+@_register(_knn(f"SELECT position::INT AS position, v::BIGINT AS v, {_r('dist')} AS dist FROM path", _LINE, True))
 def shortest_paths(spark, sf_dir):
     return _rounded(P.shortest_path(I.knn(spark, sf_dir), 0, 99))
 
 
-@_register()
+@_register(
+    _knn(
+        f"""SELECT n.v::BIGINT AS v, path.v IS NOT NULL AS on_path, {_r('(l + s.dist - z.dist) / (2 * l)', 7)} AS t, {_r('n.dist', 7)} AS dist, {_r('s.dist + z.dist - l', 7)} AS excess, s.dist + z.dist - l <= 0.5 AS in_excess
+FROM (SELECT v, min(dist) AS dist FROM sp GROUP BY v) n JOIN sa s USING (v) JOIN se z USING (v) LEFT JOIN path ON path.v = n.v, (SELECT max(dist) AS l FROM path) WHERE n.dist <= 0.5 * l AND s.dist <= l AND z.dist <= l""",
+        _LINE + _sp("(SELECT 99 AS v)", name="se") + _sp("path"),
+        True,
+    )
+)
 def tube_lens_corridor(spark, sf_dir):
-    return _rounded(P.tube_lens(I.knn(spark, sf_dir), 0, 99, 0.5, 0.5), 7)
+    return _rounded(P.tube_lens(I.knn(spark, sf_dir), 0, 99, 0.5, 0.5).drop("t_harmonic"), 7)
+
+
+@_register()
+def tube_lens_harmonic(spark, sf_dir):
+    return _rounded(P.tube_lens(I.knn(spark, sf_dir), 0, 99, 0.5, 0.5).select("v", "t_harmonic"), 7)
 
 
 @_register()
@@ -833,7 +939,13 @@ def madag(spark, sf_dir):
     return _rounded(vs.select("v", "y", F.col("from_source").cast("long").alias("from_source"), "is_sink"))
 
 
-@_register()
+@_register(
+    _knn(
+        "SELECT b.v, round(f.c * b.c / t.c::DOUBLE, 9) + 0.0 AS share FROM (SELECT v, count(*) AS c FROM bk GROUP BY v) b JOIN fr f USING (v), (SELECT c FROM fr JOIN pick USING (v)) t WHERE b.v NOT IN (SELECT v FROM pick) AND b.v NOT IN (SELECT s FROM src) AND f.c * b.c / t.c::DOUBLE >= 0.25",
+        _MADAG + ",\npick AS MATERIALIZED (SELECT v FROM fr WHERE NOT EXISTS (SELECT 1 FROM de WHERE de.src = fr.v) ORDER BY c DESC, v LIMIT 1),\nbk(v, k) AS (SELECT v, 1 FROM pick UNION ALL SELECT d.src, b.k + 1 FROM bk b JOIN de d ON d.dst = b.v SEMI JOIN fr ON fr.v = d.src)",
+        True,
+    )
+)
 def madag_bottlenecks(spark, sf_dir):
     y = I.component(spark, sf_dir, 0)
     s = _lowest(y)
@@ -847,12 +959,28 @@ def _geodesic(spark, sf_dir):
     return g, y, P.geodesic_basins(g, y, X.extrema_table(g, y).select("v", "type"))
 
 
-@_register()
+_SEARCH = (
+    _EXT
+    + _LIMIT
+    + """,
+gb(extremum, type, v, hop, dist, pred) AS (SELECT v, type, v, 0, 0.0::DOUBLE, NULL::BIGINT FROM ext UNION ALL SELECT g.extremum, g.type, e.dst, g.hop + 1, g.dist + e.len, g.v FROM gb g JOIN ev e ON e.src = g.v, lim
+  WHERE e.len <= q AND CASE g.type WHEN 'max' THEN e.yd < e.ys ELSE e.yd > e.ys END)"""
+)
+
+
+# Components of this graph are paths, so that a vertex is met from one side only.
+@_register(_path("SELECT extremum, type, v, hop::INT AS hop, dist, pred FROM gb", _SEARCH, True))
 def geodesic_basins(spark, sf_dir):
     return _geodesic(spark, sf_dir)[2]
 
 
-@_register()
+@_register(
+    _path(
+        "SELECT extremum, type, v FROM gb g WHERE NOT EXISTS (SELECT 1 FROM ev e JOIN gb o ON o.extremum = g.extremum AND o.type = g.type AND o.v = e.dst WHERE e.src = g.v AND CASE g.type WHEN 'max' THEN e.yd < e.ys ELSE e.yd > e.ys END)",
+        _SEARCH,
+        True,
+    )
+)
 def basin_terminals(spark, sf_dir):
     return P.terminals(*_geodesic(spark, sf_dir))
 
@@ -1034,12 +1162,24 @@ def bounded_steps(spark, sf_dir):
     return W.next_vertex(Graph(g.vertices, g.edges.filter("len <= 10")), I.component(spark, sf_dir, 0), True, "none", 1.0).select("v", "next")
 
 
-@_register()
+@_register(
+    _knn(
+        "SELECT vertices.v, n.v AS next FROM vertices LEFT JOIN (SELECT s.ref, s.v FROM sp s JOIN fy a ON a.v = s.ref JOIN fy b ON b.v = s.v WHERE b.y > a.y QUALIFY row_number() OVER (PARTITION BY s.ref ORDER BY b.y - a.y DESC, s.dist, s.v) = 1) n ON n.ref = vertices.v",
+        _sp("vertices", "s.dist + e.len <= 12"),
+        True,
+    )
+)
 def scale_flow(spark, sf_dir):
     return P.scale_flow(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), 12.0)
 
 
-@_register()
+@_register(
+    _knn(
+        "SELECT vertices.v, n.v AS next FROM vertices LEFT JOIN (SELECT s.ref, s.v FROM sp s JOIN su u ON u.ref = s.ref AND u.v = s.v JOIN fy b ON b.v = s.v WHERE s.ref <> s.v AND u.dist <= s.dist + 1e-12 QUALIFY row_number() OVER (PARTITION BY s.ref ORDER BY b.y DESC, s.dist, s.v) = 1) n ON n.ref = vertices.v",
+        ",\neu AS MATERIALIZED (SELECT src, dst, len FROM ev WHERE yd > ys)" + _sp("vertices", "s.dist + e.len <= 20") + _sp("vertices", "s.dist + e.len <= 20", "su", "eu"),
+        True,
+    )
+)
 def constrained_flow(spark, sf_dir):
     g = I.knn(spark, sf_dir)
     return P.constrained_flow(g, g, I.component(spark, sf_dir, 0), 20.0)
@@ -1056,7 +1196,15 @@ def biharmonic_extension(spark, sf_dir):
     return _rounded(P.harmonic_extension(I.knn(spark, sf_dir), y.select("v", F.when(F.col("v") % 4 == 0, F.col("y")).alias("value")), method="biharmonic"), 5)
 
 
-@_register()
+@_register(
+    _knn(
+        f"SELECT vertices.v, {_r('value', 7)} AS value FROM vertices LEFT JOIN ring USING (v)",
+        """,
+ring(v, value, k) USING KEY (v) AS (SELECT v, y, 0 FROM fy WHERE v % 4 = 0 UNION SELECT e.src, sum(r.value / greatest(e.len, 1e-12)) / sum(1 / greatest(e.len, 1e-12)), max(t.k) + 1
+  FROM edges e JOIN recurring.ring r ON r.v = e.dst, (SELECT max(k) AS k FROM ring) t WHERE t.k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM recurring.ring o WHERE o.v = e.src) GROUP BY e.src)""",
+        True,
+    )
+)
 def weighted_mean_extension(spark, sf_dir):
     y = I.component(spark, sf_dir, 0)
     return _rounded(P.harmonic_extension(I.knn(spark, sf_dir), y.select("v", F.when(F.col("v") % 4 == 0, F.col("y")).alias("value")), method="weighted_mean"), 7)
@@ -1077,7 +1225,7 @@ def dendrogram(spark, sf_dir):
 def spurious_tree(spark, sf_dir):
     g, y, m, _ = _basins(spark, sf_dir)
     e = X.extrema_table(g, y)
-    low = X.classify_spurious(X.hop_index(g, y, e, 8), "threshold", 2).filter("spurious").select("v", "type")
+    low = X.classify_spurious(X.hop_index(g, y, e), "threshold", 2).filter("spurious").select("v", "type")
     root = low.orderBy("v").first()
     b = m.select(F.col("extremum"), F.col("direction").alias("type"), "v")
     return P.spurious_tree(root["v"] if root else 0, root["type"] if root else "max", b, low, e)
@@ -1088,7 +1236,14 @@ def complex_tables(spark, sf_dir):
     return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "superlevel_merge_tree", "max", stages={"support": 3}, check=False).basins)
 
 
-@_register()
+@_register(
+    _knn(
+        "SELECT m.v, m.direction, printf('basin_%s_v%08d', m.direction, m.extremum) AS basin_id, round(1.0 / count(*) OVER (PARTITION BY m.v, m.direction), 9) + 0.0 AS membership_weight, m.extremum = CASE m.direction WHEN 'max' THEN u.pt ELSE d.pt END AS is_primary "
+        "FROM (SELECT DISTINCT p.pt AS v, 'max' AS direction, mx AS extremum FROM onpath p JOIN ends USING (v) UNION SELECT DISTINCT p.pt, 'min', mn FROM onpath p JOIN ends USING (v)) m JOIN up_end u ON u.v = m.v JOIN dn_end d ON d.v = m.v",
+        _TRAJECTORIES,
+        True,
+    )
+)
 def complex_membership(spark, sf_dir):
     return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "trajectory_flow", check=False).membership)
 

@@ -16,8 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_built: dict[tuple, Graph] = {}
+
+
 def knn(spark, sf_dir) -> Graph:
-    return graphs.knn_graph(table(spark, sf_dir, "embeddings"), K).cut()
+    """The graph of nearest neighbours, built once per session and state of the table and kept as checkpointed tables."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    key = sc.applicationId, sf_dir, store.getFileStatus(path).getModificationTime(), store.getContentSummary(path).getLength()
+    if key not in _built:
+        for old in [k for k in _built if k[:2] == key[:2] or k[0] != key[0]]:
+            del _built[old]
+        _built[key] = graphs.knn_graph(table(spark, sf_dir, "embeddings"), K).cut()
+    return _built[key]
 
 
 def component(spark, sf_dir, k: int) -> DataFrame:
