@@ -18,6 +18,11 @@ from .components import connected_components
 _WIDTHS = (13, 13, 13, 13, 12)
 #: Members up to which a group's pairs are listed at once; larger groups are walked, which yields a spanning tree.
 _SMALL = 6
+#: Members of a key up to which one task has them all; those of larger keys are dealt into blocks of so many, and each
+#: pair of blocks is a group of its own.
+_LARGE = 2048
+#: Bits of a block's number in the key of a pair of blocks.
+_BLOCK_BITS = 17
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -157,7 +162,9 @@ def _walk(fp, rep, asks, start: int, most: int):
     return out
 
 
-def _linked(most: int):
+def _linked(most: int, shift: int = 26):
+    """Links within groups of equal keys, whose bits from `shift` up name the segment that the chain starts at."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -172,11 +179,11 @@ def _linked(most: int):
                 i = i[k[i] == k[i + d]]
                 if not len(i):
                     break
-                ok = _close(fp[i], fp[i + d], k[i] >> 26, most)
+                ok = _close(fp[i], fp[i + d], k[i] >> shift, most)
                 yield rep[i[ok]], rep[i[ok] + d]
             for s, n in zip(change[large].tolist(), size[large].tolist()):
                 if not asks[s]:
-                    got = _walk(fp[s : s + n], rep[s : s + n], asks[s : s + n], int(k[s] >> 26), most)
+                    got = _walk(fp[s : s + n], rep[s : s + n], asks[s : s + n], int(k[s] >> shift), most)
                     if got:
                         yield tuple(np.array(got, "int64").T)
 
@@ -202,15 +209,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     component_id is the smallest doc_id reachable through fingerprints that differ in at most most_bits (4 at most)
     bits. Equal fingerprints meet once, by their smallest doc_id, so copies cost one row. Rows without a doc_id
-    get the component of their fingerprint (null if no row with that fingerprint has an id). No rows, no result.
+    get the component of their fingerprint (null if no row with that fingerprint has an id). No rows, no result. A
+    very long text is read whole, by the task that has it; a repeated doc_id has one component for each fingerprint.
+    No task holds a key of more than _LARGE members: larger ones are compared by pairs of blocks.
     """
     if not 0 <= most_bits <= 4:
         raise ValueError("the keys of the first two chain steps hold for at most 4 bits")
     prints = written(fingerprints(docs, doc_id=doc_id, text=text, words=words), "prints")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     keyed = reps.filter("rep is not null").mapInArrow(_keyed, "key long, asks boolean, fp long, rep long")
-    met = keyed.repartition("key").sortWithinPartitions("key", "asks")
+    large = keyed.groupBy("key").agg(F.ceil(F.count("*") / _LARGE).cast("long").alias("blocks")).filter("blocks > 1")
+    large = written(large, "large")
+    rest = keyed if large.isEmpty() else keyed.join(large, "key", "left_anti")
+    met = rest.repartition("key").sortWithinPartitions("key", "asks")
     links = met.mapInArrow(_linked(most_bits), "a long, b long")
+    if rest is not keyed:
+        blocks = keyed.join(large, "key").withColumn("own", F.expr("pmod(xxhash64(fp), blocks)")).withColumn("other", F.expr("explode(sequence(0L, blocks - 1))"))
+        pair = f"shiftleft(key, {2 * _BLOCK_BITS}) | shiftleft(least(own, other), {_BLOCK_BITS}) | greatest(own, other)"
+        met = blocks.select(F.expr(pair).alias("key"), "asks", "fp", "rep").repartition("key").sortWithinPartitions("key", "asks")
+        links = links.union(met.mapInArrow(_linked(most_bits, 26 + 2 * _BLOCK_BITS), "a long, b long"))
     parts = connected_components(links, "a", "b")
     reps = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(reps, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

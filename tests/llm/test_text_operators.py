@@ -112,6 +112,8 @@ def test_simhash_links_random_fingerprints_at_the_limit(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: frame)
     parts = _components(range(len(prints)), [(i, j) for i, p in enumerate(prints) for j in range(i) if (p ^ prints[j]).bit_count() <= 4])
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == parts
+    monkeypatch.setattr(simhash, "_LARGE", 9)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == parts
 
 
 # Best-fit packing
