@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..checkpoints import cut
 from ..graph import Graph
 from .extrema import edge_values
-from .fixpoint import components, roots
+from .fixpoint import components, jumps, roots, walks
 from .flow import plateaus
 
 _EVENTS = "losing long, surviving long, plateau long, level double, birth double, persistence double, status string"
@@ -83,8 +83,27 @@ def _joined(group, up):
     return [s for s in sets if len(s) > 1]
 
 
-def merge_tree(graph: Graph, field: DataFrame, up: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, basins, assignment) of superlevel sets (sublevel sets if not `up`).
+def _climbed(at: DataFrame, events: DataFrame) -> DataFrame:
+    """(v, basin): of rows (v, plateau, y, basin) the basin that has survived by the level of v.
+
+    Levels fall along a chain of survivors, so a step of 2^k of them is right if its last one is; steps are tried from the
+    longest down, and rounds are as many as the longest chain's length has binary digits.
+    """
+    steps = []
+    step = events.select("losing", "surviving", F.col("level").alias("el"), F.col("plateau").alias("ep"))
+    while not step.isEmpty():
+        steps.append(step)
+        on = step.select(F.col("losing").alias("surviving"), F.col("surviving").alias("to"), F.col("el").alias("l"), F.col("ep").alias("p"))
+        step = cut(step.select("losing", "surviving").join(on, "surviving").select("losing", F.col("to").alias("surviving"), F.col("l").alias("el"), F.col("p").alias("ep")))
+    for step in reversed(steps):
+        j = at.join(step.withColumnRenamed("losing", "basin"), "basin", "left")
+        moves = F.expr("surviving is not null and (el > y or (el = y and ep <= plateau))")
+        at = j.select("v", "plateau", "y", F.when(moves, F.col("surviving")).otherwise(F.col("basin")).alias("basin"))
+    return cut(at.select("v", "basin"))
+
+
+def merge_tree(graph: Graph, field: DataFrame, up: bool = True, assign: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(events, basins, assignment) of superlevel sets (sublevel sets if not `up`); no assignment (None) if it is not asked for.
 
     events: (losing, surviving, plateau, level, birth, persistence, status): when sets that were apart meet at a plateau, the one
     of higher birth, then smaller vertex, survives. Ids are the representatives (smallest vertex) of terminal plateaus.
@@ -113,28 +132,17 @@ def merge_tree(graph: Graph, field: DataFrame, up: bool = True) -> tuple[DataFra
     basins = born.withColumnRenamed("segment", "basin").join(part.withColumnRenamed("v", "basin"), "basin").join(low, "component").join(lost, "basin", "left")
     death = F.coalesce("lost_at", "floor")
     basins = basins.select("basin", (F.col("birth") * sign).alias("birth"), (death * sign).alias("death"), F.abs(F.col("birth") - death).alias("persistence"), "parent")
-    # Climb from a vertex's segment to whoever has survived by its level, a step of all vertices a round.
-    at = cut(p.join(f, "v").join(seg, "plateau").select("v", "plateau", "y", F.col("segment").alias("basin")))
-    ev = events.select(F.col("losing").alias("basin"), "surviving", F.col("level").alias("el"), F.col("plateau").alias("ep"))
-    while True:
-        j = at.join(ev, "basin", "left").withColumn("moves", F.expr("surviving is not null and (el > y or (el = y and ep <= plateau))"))
-        at = cut(j.select("v", "plateau", "y", F.when(F.col("moves"), F.col("surviving")).otherwise(F.col("basin")).alias("basin"), "moves"))
-        if at.filter("moves").isEmpty():
-            break
-        at = at.drop("moves")
+    at = None
+    if assign:
+        at = _climbed(p.join(f, "v").join(seg, "plateau").select("v", "plateau", "y", F.col("segment").alias("basin")), events)
     events = events.withColumn("level", F.col("level") * sign).withColumn("birth", F.col("birth") * sign)
-    return events, basins, at.select("v", "basin")
+    return events, basins, at
 
 
 def supports(basins: DataFrame, assignment: DataFrame) -> DataFrame:
     """(v, basin): hierarchical supports; a survivor absorbs what its losers hold."""
-    at = assignment.select("v", "basin")
-    out, parent = at, basins.filter("parent is not null").select("basin", "parent")
-    while True:
-        at = cut(at.join(parent, "basin").select("v", F.col("parent").alias("basin")))
-        if at.isEmpty():
-            return out.distinct()
-        out = cut(out.union(at))
+    above = walks(jumps(basins, "basin", "parent"), basins.select(F.col("basin").alias("v")))
+    return assignment.select("v", F.col("basin").alias("start")).join(above.select("start", F.col("v").alias("basin")), "start").select("v", "basin").distinct()
 
 
 def cut_tree(graph: Graph, field: DataFrame, height: float, up: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +161,7 @@ def cut_tree(graph: Graph, field: DataFrame, height: float, up: bool = True) ->
 
 def persistence(graph: Graph, field: DataFrame, top: int | None = None) -> DataFrame:
     """(basin, birth, death, persistence, parent) of superlevel sets, the most persistent first."""
-    out = merge_tree(graph, field)[1].orderBy(F.col("persistence").desc(), "basin")
+    out = merge_tree(graph, field, assign=False)[1].orderBy(F.col("persistence").desc(), "basin")
     return out if top is None else out.limit(top)
 
 

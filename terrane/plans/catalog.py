@@ -491,7 +491,23 @@ def ascending_paths(spark, sf_dir):
     return W.trajectories(W.steepest(g, y), g.vertices).select("seed", F.concat_ws(",", "path").alias("path"))
 
 
-@_register()
+@_register(
+    _knn(
+        "SELECT p.v, p.plateau, CASE WHEN p.v = coalesce(t.source, p.plateau) THEN t.target ELSE (SELECT min(i.dst) FROM inside i JOIN lv o ON o.ref = l.ref AND o.v = i.dst WHERE i.src = p.v AND o.hop = l.hop - 1) END AS next, w.pt AS root "
+        "FROM pl p JOIN tops t USING (plateau) JOIN lv l ON l.ref = coalesce(t.source, p.plateau) AND l.v = p.v JOIN pw w ON w.plateau = p.plateau ANTI JOIN (SELECT plateau AS pt FROM tops WHERE going IS NOT NULL) g ON g.pt = w.pt",
+        _LIMIT
+        + """,
+qe AS MATERIALIZED (SELECT src, dst, len, round(ys, 1) AS a, round(yd, 1) AS b FROM ev),
+inside AS MATERIALIZED (SELECT src, dst FROM qe WHERE a = b),
+reach(a, b) AS (SELECT v, v FROM vertices UNION SELECT r.a, l.dst FROM reach r JOIN inside l ON l.src = r.b),
+pl AS MATERIALIZED (SELECT a AS v, min(b) AS plateau FROM reach GROUP BY a),
+best AS MATERIALIZED (SELECT s.plateau, src AS source, dst AS target, d.plateau AS going FROM qe JOIN pl s ON s.v = src JOIN pl d ON d.v = dst, lim WHERE b > a QUALIFY row_number() OVER (PARTITION BY s.plateau ORDER BY len > q, len, dst, src) = 1),
+tops AS MATERIALIZED (SELECT p.plateau, source, target, going FROM (SELECT DISTINCT plateau FROM pl) p LEFT JOIN best USING (plateau)),
+pw(plateau, pt) AS (SELECT plateau, plateau FROM tops UNION ALL SELECT w.plateau, t.going FROM pw w JOIN tops t ON t.plateau = w.pt WHERE t.going IS NOT NULL)"""
+        + _bfs("(SELECT coalesce(source, plateau) AS v FROM tops)", edges="inside"),
+        True,
+    )
+)
 def plateau_flow(spark, sf_dir):
     return W.plateau_flow(I.knn(spark, sf_dir), _quantised(spark, sf_dir))[0]
 
@@ -803,20 +819,20 @@ def cell_values(spark, sf_dir):
 
 
 @_register(
-    "WITH f AS (SELECT vec_id AS v, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 12)) AS k)) "
-    "SELECT feature, count(*) FILTER (value > 0.5) AS carriers, round(avg((value > 0.5)::INT), 9) + 0.0 AS share FROM f WHERE v % 2 = 0 GROUP BY feature"
+    "WITH f AS (SELECT vec_id AS v, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS k)) "
+    "SELECT feature, count(*) FILTER (value > 0.5) AS carriers, round(avg((value > 0.5)::INT), 9) + 0.0 AS share FROM f WHERE v IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0) GROUP BY feature"
 )
 def feature_carriers(spark, sf_dir):
-    f = I.features(spark, sf_dir, range(12))
-    return _rounded(B.carriers(f, f.filter("v % 2 = 0").select("v").distinct(), 0.5))
+    f = I.features(spark, sf_dir, range(64))
+    return _rounded(B.carriers(f, I.component(spark, sf_dir, 0).filter("y > 0").select("v"), 0.5))
 
 
 @_register(
-    "WITH f AS (SELECT vec_id AS v, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 12)) AS k)) "
+    "WITH f AS (SELECT vec_id AS v, 'f' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS k)) "
     "SELECT v, rank::INT AS rank, feature, round(value, 9) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY value DESC, feature) AS rank FROM f WHERE value > 0) WHERE rank <= 5"
 )
 def feature_profiles(spark, sf_dir):
-    return _rounded(B.profile(I.features(spark, sf_dir, range(12)), 5))
+    return _rounded(B.profile(I.features(spark, sf_dir, range(64)), 5))
 
 
 @_register(
@@ -844,24 +860,51 @@ def merge_tree_cut(spark, sf_dir):
     return M.cut_tree(I.orders_path(spark, sf_dir), I.price(spark, sf_dir), 200000.0)[0]
 
 
-@_register()
+# Peaks reach a vertex at the highest level of all paths' lowest points; at a vertex the peaks above its higher neighbours meet.
+# Isolated vertices are peaks too. Neighbours of equal value do not occur in these fields.
+_MERGES = (
+    _NEAR
+    + """,
+peak AS MATERIALIZED (SELECT f.v, f.y FROM fy f LEFT JOIN nb ON src = f.v WHERE hi IS NULL OR hi < y),
+bn(m, v, b) USING KEY (m, v) AS (SELECT v, v, y FROM peak UNION SELECT n.m, e.dst, max(least(n.b, e.yd)) FROM bn n JOIN ev e ON e.src = n.v LEFT JOIN recurring.bn r ON r.m = n.m AND r.v = e.dst WHERE r.b IS NULL OR least(n.b, e.yd) > r.b GROUP BY n.m, e.dst),
+own AS MATERIALIZED (SELECT e.src AS s, e.dst AS u, first(n.m ORDER BY p.y DESC, n.m) AS m FROM ev e JOIN bn n ON n.v = e.dst AND n.b > e.ys JOIN peak p ON p.v = n.m WHERE e.yd > e.ys GROUP BY e.src, e.dst),
+met AS MATERIALIZED (SELECT DISTINCT s, m, first_value(m) OVER (PARTITION BY s ORDER BY p.y DESC, m) AS best FROM own JOIN peak p ON p.v = m),
+event AS MATERIALIZED (SELECT m AS losing, best AS surviving, s AS plateau, f.y AS level, p.y AS birth, p.y - f.y AS persistence, 'merged' AS status FROM met JOIN fy f ON f.v = s JOIN peak p ON p.v = m WHERE m <> best),
+life AS MATERIALIZED (SELECT p.v AS basin, p.y AS birth, coalesce(e.level, (SELECT min(f.y) FROM bn n JOIN fy f ON f.v = n.v WHERE n.m = p.v)) AS death, e.surviving AS parent FROM peak p LEFT JOIN event e ON e.losing = p.v)"""
+)
+_LIFE = f"SELECT basin, {_r('birth')} AS birth, {_r('death')} AS death, {_r('birth - death')} AS persistence, parent FROM life"
+
+
+@_register(_knn(f"SELECT losing, surviving, plateau, {_r('level')} AS level, {_r('birth')} AS birth, {_r('persistence')} AS persistence, status FROM event", _MERGES, True))
 def merge_tree_events(spark, sf_dir):
-    return _rounded(M.merge_tree(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0))[0])
+    return _rounded(M.merge_tree(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), assign=False)[0])
 
 
-@_register()
+@_register(_path(_LIFE, _MERGES, True))
 def merge_tree_basins(spark, sf_dir):
-    return _rounded(M.merge_tree(I.orders_path(spark, sf_dir), I.price(spark, sf_dir))[1])
+    return _rounded(M.merge_tree(I.orders_path(spark, sf_dir), I.price(spark, sf_dir), assign=False)[1])
 
 
-@_register()
+@_register(_knn(_LIFE, _MERGES, True))
 def persistence(spark, sf_dir):
     return _rounded(M.persistence(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0)))
 
 
-@_register()
+# The survivor at the level of a vertex is the highest peak that reaches it there.
+@_register(_path("SELECT n.v, first(n.m ORDER BY p.y DESC, n.m) AS basin FROM bn n JOIN fy f ON f.v = n.v JOIN peak p ON p.v = n.m WHERE n.b >= f.y GROUP BY n.v", _MERGES, True))
+def merge_tree_assignment(spark, sf_dir):
+    return M.merge_tree(I.orders_path(spark, sf_dir), I.price(spark, sf_dir))[2]
+
+
+@_register(
+    _knn(
+        f"SELECT t.basin, row_number() OVER (ORDER BY path)::INT AS x, {_r('birth')} AS birth, {_r('death')} AS death, parent FROM tr t JOIN life USING (basin)",
+        _MERGES + ",\ntr(basin, path) AS (SELECT basin, [{'k': death - birth, 'b': basin}] FROM life WHERE parent IS NULL UNION ALL SELECT l.basin, list_append(t.path, {'k': l.death - l.birth, 'b': l.basin}) FROM tr t JOIN life l ON l.parent = t.basin)",
+        True,
+    )
+)
 def merge_tree_layout(spark, sf_dir):
-    return _rounded(M.layout(M.merge_tree(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0))[1]))
+    return _rounded(M.layout(M.merge_tree(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), assign=False)[1]))
 
 
 # Paths and monotone graphs
@@ -869,14 +912,14 @@ def merge_tree_layout(spark, sf_dir):
 
 @_register(
     _path(
-        "SELECT ref, v, min(hop)::INT AS hop FROM lv GROUP BY ref, v",
-        ",\nlv(ref, v, hop) AS (SELECT v, v, 0 FROM vertices WHERE v % 50 = 0 UNION SELECT l.ref, e.dst, l.hop + 1 FROM lv l JOIN edges e ON e.src = l.v WHERE l.hop < 6)",
+        "SELECT ref, v, hop::INT AS hop FROM lv WHERE hop <= 6",
+        _bfs("vertices"),
         True,
     )
 )
 def hop_distances(spark, sf_dir):
     g = I.orders_path(spark, sf_dir)
-    return hops(g.edges, g.vertices.filter("v % 50 = 0").select(F.col("v").alias("ref"), "v"), 6)
+    return hops(g.edges, g.vertices.select(F.col("v").alias("ref"), "v"), 6)
 
 
 _LINE = (
@@ -1216,12 +1259,30 @@ def tolerant_search(spark, sf_dir):
     return tolerant_basins(g, y, X.extrema_table(g, y))
 
 
-@_register()
+@_register(
+    _knn(
+        f"SELECT step, coalesce((SELECT max(b.step) FROM st b WHERE b.step < a.step AND b.surviving = a.surviving), -surviving)::BIGINT AS left, coalesce((SELECT max(b.step) FROM st b WHERE b.step < a.step AND b.surviving = a.losing), -losing)::BIGINT AS right, {_r('(SELECT max(level) FROM st) - level')} AS height FROM st a",
+        _MERGES + ",\nst AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY level DESC, plateau, losing)::INT AS step FROM event)",
+        True,
+    )
+)
 def dendrogram(spark, sf_dir):
-    return _rounded(M.dendrogram(M.merge_tree(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0))[0]))
+    return _rounded(M.dendrogram(M.merge_tree(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), assign=False)[0]))
 
 
-@_register()
+@_register(
+    _knn(
+        "SELECT level::INT AS level, parent, v, type, leaf FROM tr",
+        _HOPS
+        + _SPREAD
+        + """,
+low AS MATERIALIZED (SELECT v, type FROM idx WHERE hop_idx <= 2),
+tr(v, type, level, parent, leaf) USING KEY (v, type) AS (SELECT v, type, 0, NULL::BIGINT, false FROM (SELECT * FROM low ORDER BY v LIMIT 1) UNION
+  SELECT x.v, x.type, max(t.level) + 1, min(t.v), bool_and(low.v IS NULL) FROM tr t JOIN spread s ON s.extremum = t.v AND s.direction = t.type JOIN ext x ON x.v = s.v AND x.type <> t.type LEFT JOIN low ON low.v = x.v AND low.type = x.type
+  LEFT JOIN recurring.tr r ON r.v = x.v AND r.type = x.type WHERE NOT t.leaf AND r.v IS NULL GROUP BY x.v, x.type)""",
+        True,
+    )
+)
 def spurious_tree(spark, sf_dir):
     g, y, m, _ = _basins(spark, sf_dir)
     e = X.extrema_table(g, y)
@@ -1233,7 +1294,7 @@ def spurious_tree(spark, sf_dir):
 
 @_register()
 def complex_tables(spark, sf_dir):
-    return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "superlevel_merge_tree", "max", stages={"support": 3}, check=False).basins)
+    return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "superlevel_merge_tree", stages={"support": 3}).basins)
 
 
 @_register(
@@ -1245,12 +1306,17 @@ def complex_tables(spark, sf_dir):
     )
 )
 def complex_membership(spark, sf_dir):
-    return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "trajectory_flow", check=False).membership)
+    return _rounded(basin_complex(I.knn(spark, sf_dir), I.component(spark, sf_dir, 0), "trajectory_flow").membership)
 
 
-@_register()
+@_register(
+    "WITH RECURSIVE f AS (SELECT vec_id AS v, k, embedding[k + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS k)), p AS (SELECT v, substr(k::VARCHAR, 1, 1) || 'f' AS s, value, row_number() OVER (PARTITION BY v ORDER BY value DESC, k || '_f' || k) AS rank FROM f WHERE value > 0 QUALIFY rank <= 5), "
+    "l AS MATERIALIZED (SELECT v, list(s ORDER BY rank) AS a, greatest(1, count(*) FILTER (value >= 1.0)) AS n FROM p GROUP BY v), "
+    "g(v, n, k) AS (SELECT v, n, 0 FROM l UNION ALL SELECT v, CASE WHEN same > 1 AND n < z THEN n + 1 ELSE n END, k + 1 FROM (SELECT g.v, g.n, g.k, len(l.a) AS z, count(*) OVER (PARTITION BY array_to_string(l.a[1:g.n], '')) AS same FROM g JOIN l USING (v)) WHERE k < 5) "
+    "SELECT v, array_to_string(a[1:g.n], '') AS label FROM g JOIN l USING (v) WHERE k = 5"
+)
 def feature_labels(spark, sf_dir):
-    f = I.features(spark, sf_dir, range(12)).withColumn("feature", F.concat(F.substring("feature", 2, 2), F.lit("_"), F.col("feature")))
+    f = I.features(spark, sf_dir, range(64)).withColumn("feature", F.concat(F.expr("substring(feature, 2)"), F.lit("_"), F.col("feature")))
     return B.short_labels(B.profile(f, 5), 1.0)
 
 
