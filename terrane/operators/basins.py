@@ -140,7 +140,7 @@ def flow_cells(membership: DataFrame, min_size: int = 1) -> DataFrame:
 def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n) for every pair of labels, absent ones as 0."""
     n = labels.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    every = labels.select(F.col(a).alias("a")).distinct().crossJoin(F.broadcast(labels.select(F.col(b).alias("b")).distinct()))
+    every = labels.select(F.col(a).alias("a")).distinct().crossJoin(labels.select(F.col(b).alias("b")).distinct())
     return every.join(n, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -66,14 +66,15 @@ def tube_lens(graph: Graph, start: int, end: int, relative_radius: float = 0.1,
     return c.join(h, "v", "left").select("v", "on_path", "t", F.col("value").alias("t_harmonic"), "dist", "excess", tol.alias("in_excess"))
 
 
-def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-10, rounds: int = 100_000, method: str = "harmonic") -> DataFrame:
+def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-12, rounds: int = 100_000, method: str = "harmonic") -> DataFrame:
     """(v, value): region (v, value) with its null values replaced by an extension of those given, which stay.
 
     `harmonic`: each is the mean of its neighbours in the region, weighted by 1 / length. `biharmonic`: the square of that operator
     vanishes instead, which bends less at the given values. `weighted_mean`: rounds that give a vertex the weighted mean of the
     neighbours that have a value by then, ring by ring. `boundary_smoothed`: harmonic, then one such mean over the vertices next
     to given ones. A part of the region without any given value stays null. Each connected part of the region is
-    solved in one task, as a linear system if it is small and by sweeps to the tolerance otherwise (biharmonic always as a system).
+    solved in one task, by conjugate gradients over its edges whatever its size, until the residual has fallen to the
+    tolerance times its first size; more than `rounds` of them are an error.
     """
     ids = region.select("v")
     e = graph.edges.join(ids.withColumnRenamed("v", "src"), "src", "left_semi").join(ids.withColumnRenamed("v", "dst"), "dst", "left_semi")
@@ -94,13 +95,8 @@ def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-10
         a, b = np.searchsorted(ids, v[~node]), np.searchsorted(ids, dst[~node].astype("int64"))
         w = 1.0 / np.maximum(table["len"].to_numpy(zero_copy_only=False)[~node].astype("float64"), 1e-12)
         free = np.isnan(value)
+        total = np.bincount(a, w, len(ids))
         if free.any() and not free.all():
-            n = int(free.sum())
-            place = np.full(len(ids), -1)
-            place[free] = np.arange(n)
-            total = np.bincount(a, w, len(ids))
-            from_fixed = np.bincount(a, np.where(free[b], 0.0, w * np.nan_to_num(value[b])), len(ids))
-            inner = free[a] & free[b]
             if method == "weighted_mean":
                 while free.any():
                     told = ~free[b] & free[a]
@@ -111,26 +107,26 @@ def harmonic_extension(graph: Graph, region: DataFrame, tolerance: float = 1e-10
                         break
                     value[reached] = sums[reached] / weight[reached]
                     free = free & ~reached
-            elif method == "biharmonic":
-                m = np.zeros((len(ids), len(ids)))
-                np.add.at(m, (a, b), -w / np.maximum(total[a], 1e-300))
-                m[np.arange(len(ids)), np.arange(len(ids))] += 1.0
-                m = m @ m
-                value[free] = np.linalg.lstsq(m[np.ix_(free, free)], -m[np.ix_(free, ~free)] @ value[~free], rcond=None)[0]
-            elif n <= 1500:
-                m = np.zeros((n, n))
-                m[np.arange(n), np.arange(n)] = total[free]
-                np.subtract.at(m, (place[a[inner]], place[b[inner]]), w[inner])
-                value[free] = np.linalg.solve(m, from_fixed[free])
             else:
-                x = np.full(len(ids), value[~free].mean())
-                x[~free] = value[~free]
+                laplace = lambda x: total * x - np.bincount(a, w * x[b], len(ids))
+                # The system is symmetric: L for harmonic, L D^-1 L for biharmonic, on the free vertices.
+                apply = laplace if method != "biharmonic" else lambda x: laplace(laplace(x) / np.maximum(total, 1e-300))
+                scale = np.where(free, total, 0.0)
+                x = np.where(free, value[~free].mean(), np.nan_to_num(value))
+                r = np.where(free, -apply(x), 0.0)
+                z = np.divide(r, scale, out=np.zeros_like(r), where=scale > 0)
+                p, rz, goal = z, r @ z, tolerance * np.sqrt((r * r).sum())
                 for _ in range(rounds):
-                    new = (from_fixed + np.bincount(a, np.where(free[b], w * x[b], 0.0), len(ids))) / np.where(total > 0, total, 1.0)
-                    step = np.abs(new[free] - x[free]).max()
-                    x[free] = new[free]
-                    if step < tolerance:
+                    if np.sqrt((r * r).sum()) <= goal:
                         break
+                    ap = np.where(free, apply(p), 0.0)
+                    step = rz / (p @ ap)
+                    x, r = x + step * p, r - step * ap
+                    z = np.divide(r, scale, out=np.zeros_like(r), where=scale > 0)
+                    rz, old = r @ z, rz
+                    p = z + rz / old * p
+                else:
+                    raise ArithmeticError(f"no extension to {tolerance:g} in {rounds} rounds")
                 value = x
             if method == "boundary_smoothed":
                 edge = np.zeros(len(ids), bool)
@@ -221,55 +217,41 @@ def enumerate_paths(edges: DataFrame, source: int, sink: int, most: int = 10_000
             return done.limit(0)
 
 
-# Reachability with one task per connected component
+# Reachability
 
 
 def geodesic_basins(graph: Graph, field: DataFrame, extrema: DataFrame, q: float = 0.9) -> DataFrame:
     """(extremum, type, v, hop, dist, pred): geodesic reachability basins of extrema (v, type).
 
     From an extremum vertices are settled by (distance, vertex); one is accepted if the edge that it is reached by goes strictly
-    down (up for minima) and is no longer than the q-quantile; others are rejected for good and block. The search
-    is sequential, so each connected component is one task, which holds that component's edges.
+    down (up for minima) and is no longer than the q-quantile; others are rejected for good and block. All searches run
+    side by side, rows dealt by extremum and vertex: a round settles, of each search, every vertex at a distance that no
+    open vertex can undercut by its shortest edge. Of equally long ways the one from the vertex settled first counts.
     """
-    part = cut(components(graph.vertices, graph.edges))
-    limit = edge_length_quantile(graph, q).first()[0]
-    e = graph.edges.join(part.select(F.col("v").alias("src"), "component"), "src").join(field.select(F.col("v").alias("src"), "y"), "src")
-    rows = e.select("component", F.col("src").alias("v"), "dst", "len", "y", F.lit(None).cast("string").alias("type"))
-    seeds = extrema.join(part, "v").join(field.select("v", "y"), "v") if "y" not in extrema.columns else extrema.join(part, "v")
-    rows = rows.union(seeds.select("component", "v", F.lit(None).cast("long"), F.lit(None).cast("double"), "y", "type"))
-
-    def search(table):
-        import heapq
-
-        import pyarrow as pa
-
-        near, value, starts = {}, {}, []
-        for r in table.to_pylist():
-            value[r["v"]] = r["y"]
-            if r["type"] is None:
-                near.setdefault(r["v"], []).append((r["dst"], r["len"]))
-            else:
-                starts.append((r["v"], r["type"]))
-        out = []
-        for start, kind in sorted(starts):
-            heap, settled = [(0.0, start, None, 0, 0.0)], set()
-            best = {start: 0.0}
-            while heap:
-                d, v, pred, hop, step = heapq.heappop(heap)
-                if v in settled:
-                    continue
-                settled.add(v)
-                if pred is not None and not (step <= limit and (value[v] < value[pred] if kind == "max" else value[v] > value[pred])):
-                    continue
-                out.append({"extremum": start, "type": kind, "v": v, "hop": hop, "dist": d, "pred": pred})
-                for u, w in near.get(v, ()):
-                    if u not in settled and d + w < best.get(u, float("inf")):
-                        best[u] = d + w
-                        heapq.heappush(heap, (d + w, u, v, hop + 1, w))
-        schema = pa.schema([("extremum", pa.int64()), ("type", pa.string()), ("v", pa.int64()), ("hop", pa.int32()), ("dist", pa.float64()), ("pred", pa.int64())])
-        return pa.Table.from_pylist(out, schema=schema)
-
-    return rows.groupBy("component").applyInArrow(search, "extremum long, type string, v long, hop int, dist double, pred long")
+    values = field.select("v", "y")
+    e = edge_values(graph, field).crossJoin(F.broadcast(edge_length_quantile(graph, q)))
+    e = cut(e.select(F.col("src").alias("from"), "dst", "len", (F.col("len") <= F.col("threshold")).alias("short"), F.signum(F.col("yd") - F.col("ys")).alias("rise")))
+    least = cut(values.join(e.groupBy(F.col("from").alias("v")).agg(F.min("len").alias("least")), "v", "left").select("v", F.coalesce("least", F.lit(0.0)).alias("least")))
+    none = F.lit(None)
+    first = F.struct(F.lit(0.0).alias("dist"), none.cast("double").alias("before"), none.cast("long").alias("pred"), F.lit(0).alias("hop"), F.lit(True).alias("good"))
+    open_ = cut(extrema.select(F.col("v").alias("ref"), "type", "v", first.alias("b")))
+    key, done, out, rounds = ["ref", "type", "v"], None, None, 0
+    while True:
+        reach = open_.join(least, "v").withColumn("limit", F.min(F.col("b.dist") + F.col("least")).over(Window.partitionBy("ref", "type")))
+        now = cut(reach.select(*key, "b", (F.col("b.dist") <= F.col("limit")).alias("settled")))
+        new = now.filter("settled").drop("settled")
+        done = new.select(*key) if done is None else done.union(new.select(*key))
+        out = new.filter("b.good") if out is None else out.union(new.filter("b.good"))
+        good = (F.col("short")) & F.when(F.col("type") == "max", F.col("rise") < 0).otherwise(F.col("rise") > 0)
+        way = F.struct((F.col("b.dist") + F.col("len")).alias("dist"), F.col("b.dist").alias("before"), F.col("from").alias("pred"), (F.col("b.hop") + 1).alias("hop"), good.alias("good"))
+        far = new.filter("b.good").withColumnRenamed("v", "from").join(e, "from").select("ref", "type", F.col("dst").alias("v"), way.alias("b"))
+        far = far.join(done, key, "left_anti")
+        rounds += 1
+        if rounds % 8 == 0:  # Long searches keep short plans.
+            done, out = cut(done), cut(out)
+        open_ = cut(now.filter("not settled").drop("settled").union(far).groupBy(*key).agg(F.min("b").alias("b")))
+        if open_.isEmpty():
+            return out.select(F.col("ref").alias("extremum"), "type", "v", "b.hop", "b.dist", "b.pred")
 
 
 def terminals(graph: Graph, field: DataFrame, basins: DataFrame) -> DataFrame:

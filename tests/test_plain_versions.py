@@ -176,3 +176,74 @@ def test_flows_over_distances_equal_a_plain_scan(spark):
         held[v] = min(best)[2] if best else None
     assert {r.v: r.next for r in P.scale_flow(graph, field, 0.3).collect()} == want
     assert {r.v: r.next for r in P.constrained_flow(graph, graph, field, 0.5).collect()} == held
+
+
+def _reached(near, y, start, sign, limit):
+    """Settled by (distance, vertex); rejected ones block."""
+    import heapq
+
+    heap, settled, best, out = [(0.0, start, None, 0, 0.0)], set(), {start: 0.0}, {}
+    while heap:
+        d, v, pred, hop, step = heapq.heappop(heap)
+        if v in settled:
+            continue
+        settled.add(v)
+        if pred is not None and not (step <= limit and (y[pred] - y[v]) * sign > 0):
+            continue
+        out[v] = (hop, d, pred)
+        for u, w in near[v].items():
+            if u not in settled and d + w < best.get(u, float("inf")):
+                best[u] = d + w
+                heapq.heappush(heap, (d + w, u, v, hop + 1, w))
+    return out
+
+
+def test_geodesic_basins_equal_a_plain_search(spark):
+    graph, field, near, y = _many(spark, 13, 12, size=40, k=5)
+    limit = np.quantile([w for a, n in near.items() for b, w in n.items() if a < b], 0.8)
+    ends = X.extrema_table(graph, field)
+    want = {}
+    for r in ends.collect():
+        for v, (hop, d, pred) in _reached(near, y, r.v, 1 if r.type == "max" else -1, limit).items():
+            want[r.v, r.type, v] = (hop, pytest.approx(d), pred)
+    got = P.geodesic_basins(graph, field, ends.select("v", "type"), 0.8).collect()
+    assert {(r.extremum, r.type, r.v): (r.hop, r.dist, r.pred) for r in got} == want and len(got) == len(want)
+
+
+def test_extensions_solve_their_systems(spark):
+    graph, field, near, y = _many(spark, 15, 3, size=40, k=4)
+    given = {v: y[v] for v in y if v % 100 % 5 == 0}
+    region = spark.createDataFrame([(v, given.get(v)) for v in y], "v long, value double")
+    ids = sorted(y)
+    place = {v: i for i, v in enumerate(ids)}
+    weight = np.zeros((len(ids), len(ids)))
+    for v, n in near.items():
+        for u, w in n.items():
+            weight[place[v], place[u]] = 1 / w
+    degree = weight.sum(axis=1)
+    free = np.array([v not in given for v in ids])
+    known = np.array([given.get(v, 0.0) for v in ids])
+    laplace = np.diag(degree) - weight
+    for method, system in (("harmonic", laplace), ("biharmonic", laplace @ np.diag(1 / degree) @ laplace)):
+        got = {r.v: r.value for r in P.harmonic_extension(graph, region, method=method).collect()}
+        # Parts without a given value stay null; here every part has one.
+        want = known.copy()
+        want[free] = np.linalg.solve(system[np.ix_(free, free)], -system[np.ix_(free, ~free)] @ known[~free])
+        assert [got[v] for v in ids] == pytest.approx(want.tolist(), abs=1e-7)
+    plain = {r.v: r.value for r in P.harmonic_extension(graph, region).collect()}
+    smooth = {r.v: r.value for r in P.harmonic_extension(graph, region, method="boundary_smoothed").collect()}
+    for v in ids:
+        if v in given or not any(u in given for u in near[v]):
+            assert smooth[v] == pytest.approx(plain[v])
+        else:
+            mean = sum(plain[u] / w for u, w in near[v].items()) / sum(1 / w for w in near[v].values())
+            assert smooth[v] == pytest.approx((plain[v] + mean) / 2)
+    ring, left = dict(given), set(ids) - set(given)
+    while left:
+        new = {v: sum(ring[u] / w for u, w in near[v].items() if u in ring) / sum(1 / w for u, w in near[v].items() if u in ring) for v in left if any(u in ring for u in near[v])}
+        if not new:
+            break
+        ring |= new
+        left -= set(new)
+    got = {r.v: r.value for r in P.harmonic_extension(graph, region, method="weighted_mean").collect()}
+    assert all(got[v] == pytest.approx(ring[v]) if v in ring else got[v] is None for v in ids)
