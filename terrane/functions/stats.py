@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..checkpoints import cut
+from .ranks import running
 
 
 def concordance_test(differences: DataFrame) -> DataFrame:
@@ -30,14 +33,17 @@ def wasserstein(values: DataFrame, group: str, value: str, a, b) -> DataFrame:
     two = values.filter(F.col(group).isin([a, b]))
     n = two.agg(F.sum((F.col(group) == a).cast("double")).alias("na"), F.sum((F.col(group) == b).cast("double")).alias("nb"))
     per = two.groupBy(F.col(value).alias("x")).agg(F.sum((F.col(group) == a).cast("double")).alias("ca"), F.sum((F.col(group) == b).cast("double")).alias("cb"))
-    by = Window.orderBy("x")
-    per = per.crossJoin(F.broadcast(n)).withColumn("d", F.abs(F.sum("ca").over(by) / F.col("na") - F.sum("cb").over(by) / F.col("nb"))).withColumn("w", F.lead("x").over(by) - F.col("x"))
+    per = running(per, ["x"], {"i": F.lit(1), "a": F.col("ca"), "b": F.col("cb")})
+    after = per.select((F.col("i") - 1).alias("i"), F.col("x").alias("next"))
+    per = per.join(after, "i").crossJoin(F.broadcast(n)).select(F.abs(F.col("a") / F.col("na") - F.col("b") / F.col("nb")).alias("d"), (F.col("next") - F.col("x")).alias("w"))
     return per.agg(F.coalesce(F.sum(F.col("d") * F.col("w")), F.lit(0.0)).alias("distance"))
 
 
 def running_mean(rows: DataFrame, order: str, value: str, half: int) -> DataFrame:
-    """Add the mean of a value over a window of so many rows to either side, shorter at the ends."""
-    return rows.withColumn("running_mean", F.avg(value).over(Window.orderBy(order).rowsBetween(-half, half)))
+    """Add the mean of a value over a window of so many rows to either side, shorter at the ends. `order` tells all rows apart."""
+    ranked = cut(running(rows, [order], {"place": F.lit(1)}))
+    told = ranked.select(F.explode(F.sequence(F.col("place") - half, F.col("place") + half)).alias("place"), F.col(value).alias("near"))
+    return ranked.join(told.groupBy("place").agg(F.avg("near").alias("running_mean")), "place").select(*rows.columns, "running_mean")
 
 
 def bootstrap_means(values: DataFrame, value: str, times: int, seed: int = 1) -> DataFrame:

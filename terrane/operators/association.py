@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import HALF, edge_difference, sigmoid, winsorized
+from ..functions.ranks import running
 from ..graph import Graph
 
 _TINY = 1e-10
@@ -145,11 +146,11 @@ def permutation_test(graph: Graph, y: DataFrame, z: DataFrame, statistic: str =
     adjusted by Benjamini and Hochberg.
     """
     stat = {"mean.abs": F.avg(F.abs("lcor")), "mean": F.avg("lcor"), "max.abs": F.max(F.abs("lcor"))}[statistic]
-    own = Window.orderBy("v")
-    place = z.select("v").distinct().withColumn("i", F.row_number().over(own))
-    draws = place.crossJoin(F.broadcast(place.sparkSession.range(1, times + 1).withColumnRenamed("id", "draw")))
-    draws = draws.withColumn("j", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64(F.lit(seed), "draw", "v"), "v")))
-    moved = draws.select("draw", F.col("v").alias("to"), F.col("j").alias("i")).join(place, "i").join(z, "v")
+    place = running(z.select("v").distinct(), ["v"], {"i": F.lit(1)})
+    draws = place.crossJoin(F.broadcast(place.sparkSession.range(1, times + 1).withColumnRenamed("id", "draw"))).withColumn("h", F.xxhash64(F.lit(seed), "draw", "v"))
+    # Every draw has as many rows, so a rank over all of them gives the rank in each.
+    draws = running(draws, ["draw", "h", "v"], {"j": F.lit(1)}).withColumn("i", F.col("j") - (F.col("draw") - 1) * place.count())
+    moved = draws.select("draw", F.col("v").alias("to"), "i").join(place, "i").join(z, "v")
     null = moved.select(F.col("to").alias("v"), F.concat_ws("\x1f", F.col("draw").cast("string"), "feature").alias("feature"), "value")
     seen = lcor_matrix(graph, y, z, **options).groupBy("feature").agg(stat.alias("observed"))
     drawn = lcor_matrix(graph, y, null, **options).groupBy("feature").agg(stat.alias("s")).withColumn("feature", F.element_at(F.split("feature", "\x1f"), 2))
@@ -191,8 +192,8 @@ def cells(weights: DataFrame) -> DataFrame:
 def polarity(field: DataFrame, weights: DataFrame, scale: str = "value", epsilon: float = 1e-10) -> DataFrame:
     """(v, theta, polarity, range): a vertex's place in the value range of its cells, weighted; null if it has no such cell.
 
-    `value`: (y - min) / (max - min + epsilon), clamped; flat cells are skipped. `rank`: average-tie rank in the cell (ties chain
-    from a group's first value within epsilon) over its size - 1; cells of one vertex are skipped.
+    `value`: (y - min) / (max - min + epsilon), clamped; flat cells are skipped. `rank`: average rank in the cell, of vertices of
+    exactly equal value, over its size - 1; cells of one vertex are skipped.
     """
     c = cells(weights).join(field, "v")
     hi, lo = field.select(F.col("v").alias("max_id"), F.col("y").alias("hi")), field.select(F.col("v").alias("min_id"), F.col("y").alias("lo"))

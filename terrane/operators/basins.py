@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.ranks import running
 from ..graph import Graph, degrees
 from .fixpoint import components, hops, nearest_source
 
@@ -63,12 +64,10 @@ def geometry(graph: Graph, k: int = 2) -> DataFrame:
     ring = hops(graph.edges, starts, most=k).filter(F.col("hop") == k)
     far = distances(graph.edges, starts, hops=k).join(ring, ["ref", "v"]).groupBy(F.col("ref").alias("v")).agg(F.avg("dist").alias("mean_hopk"))
     j = d.join(far, "v", "left")
-    return j.select(
-        "v",
-        F.cume_dist().over(Window.orderBy("mean_len")).alias("p_mean_nbrs"),
-        F.cume_dist().over(Window.orderBy("mean_hopk")).alias("p_mean_hopk"),
-        F.cume_dist().over(Window.orderBy(F.col("degree").desc())).alias("p_degree"),
-    )
+    n = j.agg(F.count("*").alias("n"))
+    for name, by in (("p_mean_nbrs", F.col("mean_len").asc()), ("p_mean_hopk", F.col("mean_hopk").asc()), ("p_degree", F.col("degree").desc())):
+        j = running(j, [by], {name: F.lit(1)})
+    return j.crossJoin(F.broadcast(n)).select("v", *((F.col(c) / F.col("n")).alias(c) for c in ("p_mean_nbrs", "p_mean_hopk", "p_degree")))
 
 
 def filter_geometry(basins: DataFrame, shares: DataFrame, nbrs: float = 0.9, hopk: float = 0.9, degree: float = 0.9) -> DataFrame:

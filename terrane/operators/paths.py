@@ -150,7 +150,8 @@ def monotone_edges(graph: Graph, field: DataFrame, q: float = 1.0, up: bool = Tr
 def madag(graph: Graph, field: DataFrame, source: int, q: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of the monotone ascending graph that a vertex reaches.
 
-    vertices: (v, y, from_source, to_sink, is_sink): numbers of ascending paths from the source and on to any sink, as exact decimals.
+    vertices: (v, y, from_source, to_sink, is_sink): numbers of ascending paths from the source and on to any sink, as exact
+    decimals. Numbers of paths grow exponentially; one of over 38 digits is an arithmetic overflow error.
     """
     e = cut(monotone_edges(graph, field, q).select("src", "dst"))
     spark = e.sparkSession

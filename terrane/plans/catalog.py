@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars, stats
 from ..graph import degrees, from_edges
-from ..operators import association as A, basins as B, extrema as X, flow as W, grid as G, merge_tree as M, paths as P
+from ..operators import association as A, basins as B, comparison as C, extrema as X, flow as W, grid as G, merge_tree as M, paths as P, pruning
 from ..operators.fixpoint import hops, roots
 from ..operators.tolerant import tolerant_basins
 from ..sources import graphs
@@ -1320,6 +1320,92 @@ def feature_labels(spark, sf_dir):
     return B.short_labels(B.profile(f, 5), 1.0)
 
 
+# Pruning and comparison
+
+
+@_register(
+    _knn(
+        "SELECT e.src, e.dst, round(e.len, 9) + 0.0 AS len FROM rk e JOIN mm ON mm.ref = e.src AND mm.v = e.dst, cutoff WHERE e.len < cutoff.len OR e.r <= mm.b",
+        """,
+rk AS MATERIALIZED (SELECT src, dst, len, row_number() OVER (ORDER BY len, src DESC, dst DESC) AS r FROM edges WHERE src < dst),
+cutoff AS (SELECT len FROM rk ORDER BY len DESC LIMIT 1 OFFSET (SELECT floor(count(*) * 0.7)::INT FROM rk)),
+either AS MATERIALIZED (SELECT src, dst, r FROM rk UNION ALL SELECT dst, src, r FROM rk),
+mm(ref, v, b) USING KEY (ref, v) AS (SELECT v, v, 0 FROM vertices UNION SELECT m.ref, e.dst, min(greatest(m.b, e.r)) FROM mm m JOIN either e ON e.src = m.v LEFT JOIN recurring.mm o ON o.ref = m.ref AND o.v = e.dst WHERE o.b IS NULL OR greatest(m.b, e.r) < o.b GROUP BY m.ref, e.dst)""",
+        True,
+    )
+)
+def pruned_long_edges(spark, sf_dir):
+    return _rounded(pruning.prune_long_edges(I.knn(spark, sf_dir), 0.7).edges.filter("src < dst"))
+
+
+@_register(_knn("SELECT ref, v, round(dist, 9) + 0.0 AS dist FROM sp", _sp("vertices", "s.dist + e.len <= 2.2"), True))
+def radius_neighbours(spark, sf_dir):
+    g = I.knn(spark, sf_dir)
+    return _rounded(pruning.radius_neighbours(g, g.vertices, 2.2))
+
+
+def _shorter(spark, sf_dir):
+    """The graph of nearest neighbours and the same without its longest edges, half a unit shorter."""
+    from ..graph import Graph
+
+    g = I.knn(spark, sf_dir)
+    return g, Graph(g.vertices, g.edges.filter("len <= 1.2").withColumn("len", F.col("len") - 0.5))
+
+
+_SHORTER = ",\ne2 AS MATERIALIZED (SELECT src, dst, len - 0.5 AS len FROM edges WHERE len <= 1.2)"
+
+
+def _deg(edges: str) -> str:
+    return f"(SELECT d, count(*) / (SELECT count(*) FROM vertices)::DOUBLE AS share FROM (SELECT v, count(dst) AS d FROM vertices LEFT JOIN {edges} ON src = v GROUP BY v) GROUP BY d)"
+
+
+_JS = "coalesce(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) / 2 ELSE 0 END), 0.0)"
+
+
+@_register(_knn(f"SELECT d::VARCHAR AS bin, {_r('share')} AS share FROM {_deg('edges')}"))
+def degree_distribution(spark, sf_dir):
+    return _rounded(C.degree_distribution(I.knn(spark, sf_dir)))
+
+
+@_register(_path(f"SELECT size::VARCHAR AS bin, {_r('sum(size) / (SELECT count(*) FROM vertices)::DOUBLE')} AS share FROM (SELECT o_custkey, count(*) AS size FROM orders GROUP BY o_custkey) GROUP BY size"))
+def component_distribution(spark, sf_dir):
+    return _rounded(C.component_distribution(I.orders_path(spark, sf_dir)))
+
+
+@_register(_knn(f"SELECT least(a.label, b.label)::VARCHAR || '|' || greatest(a.label, b.label)::VARCHAR AS bin, {_r('count(*) / (SELECT count(*) FROM edges WHERE src < dst)::DOUBLE')} AS share FROM edges JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE src < dst GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1")))
+def label_distribution(spark, sf_dir):
+    return _rounded(C.label_distribution(I.knn(spark, sf_dir), I.labels(spark, sf_dir)))
+
+
+@_register(_knn(f"SELECT {_r(_JS)} AS divergence FROM (SELECT coalesce(a.share, 0) AS p, coalesce(b.share, 0) AS q FROM {_deg('edges')} a FULL JOIN {_deg('e2')} b USING (d))", _SHORTER))
+def degree_divergence(spark, sf_dir):
+    one, two = _shorter(spark, sf_dir)
+    return _rounded(C.divergence(C.degree_distribution(one), C.degree_distribution(two)))
+
+
+@_register(
+    _knn(
+        f"SELECT {_r(_JS)} AS divergence FROM (SELECT coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS q FROM (SELECT k, count(*) / sum(count(*)) OVER () AS s FROM bin WHERE g = 1 GROUP BY k) a FULL JOIN (SELECT k, count(*) / sum(count(*)) OVER () AS s FROM bin WHERE g = 2 GROUP BY k) b USING (k))",
+        _SHORTER
+        + """,
+al AS (SELECT 1 AS g, len FROM edges WHERE src < dst UNION ALL SELECT 2, len FROM e2 WHERE src < dst),
+bin AS MATERIALIZED (SELECT g, least(9, floor((len - lo) / (hi - lo) * 10)) AS k FROM al, (SELECT min(len) AS lo, max(len) AS hi FROM al))""",
+    )
+)
+def length_divergence(spark, sf_dir):
+    return _rounded(C.divergence(*C.length_distributions(*_shorter(spark, sf_dir), 10)))
+
+
+@_register(_knn(f"SELECT {_r('sum(CASE WHEN a.len IS NULL OR b.len IS NULL THEN 2.0 ELSE 3.0 * abs(a.len - b.len) END)', 7)} AS distance FROM (SELECT * FROM edges WHERE src < dst) a FULL JOIN (SELECT * FROM e2 WHERE src < dst) b USING (src, dst)", _SHORTER))
+def graph_edit_distance(spark, sf_dir):
+    return _rounded(C.edit_distance(*_shorter(spark, sf_dir), 2.0, 3.0), 7)
+
+
+@_register(_knn(f"SELECT count(*) AS clusters, {_r('sum(i / m - pow(d / m, 2))')} AS modularity FROM (SELECT a.label, count(*)::DOUBLE AS d, sum((a.label = b.label)::INT) AS i FROM edges JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst GROUP BY a.label), (SELECT count(*)::DOUBLE AS m FROM edges)"))
+def label_modularity(spark, sf_dir):
+    return _rounded(C.modularity(I.knn(spark, sf_dir), I.labels(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

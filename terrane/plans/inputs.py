@@ -58,6 +58,10 @@ def residue(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("v"), (F.col("o_orderkey") % 101).cast("double").alias("y"))
 
 
+def labels(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "label")
+
+
 def density(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), (1.0 + F.col("vec_id") % 5).alias("density"))
 
