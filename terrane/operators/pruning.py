@@ -25,20 +25,21 @@ def prune_long_edges(graph: Graph, share: float = 0.5) -> Graph:
     place = m if share >= 1 else min(int(m * share) + 1, m)
     bound = ranked.filter(F.col("place") >= place).agg(F.max("len")).first()[0]
     light = once.filter(F.col("len") < bound)
-    part = cut(components(graph.vertices, light))
-    key = F.struct("len", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d"))
-    heavy = once.filter(F.col("len") >= bound).select("src", "dst", "len", key.alias("k"))
-    a, b = part.select(F.col("v").alias("src"), F.col("component").alias("a")), part.select(F.col("v").alias("dst"), F.col("component").alias("b"))
-    open_ = cut(heavy.join(a, "src").join(b, "dst").filter("a <> b"))
+    label = cut(components(graph.vertices, light))
+    heavy = once.filter(F.col("len") >= bound).select("src", "dst", F.struct("len", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d")).alias("k"))
     kept = light
-    while not open_.isEmpty():
-        sides = open_.select("a", "b", "k").union(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
+    while True:
+        # Parts are looked up anew: a table carried through the rounds would carry ever more inferred constraints.
+        a, b = label.select(F.col("v").alias("src"), F.col("component").alias("a")), label.select(F.col("v").alias("dst"), F.col("component").alias("b"))
+        open_ = cut(heavy.join(a, "src").join(b, "dst").filter("a <> b").select("a", "b", "k"))
+        if open_.isEmpty():
+            break
+        sides = open_.union(open_.select("b", "a", "k"))
         best = cut(sides.groupBy("a").agg(F.min(F.struct("k", "b")).alias("m")).select("a", "m.b", "m.k"))
         kept = cut(kept.union(best.select((-F.col("k.s")).alias("src"), (-F.col("k.d")).alias("dst"), F.col("k.len").alias("len"))).distinct())
-        ends = sides.select(F.col("a").alias("v")).distinct()
-        joined = cut(components(ends, best.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        to = lambda c: joined.select(F.col("v").alias(c), F.col("component").alias(f"{c}_"))
-        open_ = cut(open_.join(to("a"), "a").join(to("b"), "b").select("src", "dst", "len", "k", F.col("a_").alias("a"), F.col("b_").alias("b")).filter("a <> b"))
+        joined = components(sides.select(F.col("a").alias("v")).distinct(), best.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        joined = joined.select(F.col("v").alias("component"), F.col("component").alias("next"))
+        label = cut(label.join(joined, "component", "left").select("v", F.coalesce("next", "component").alias("component")))
     return Graph(graph.vertices, kept.union(kept.selectExpr("dst", "src", "len")))
 
 
