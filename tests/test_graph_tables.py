@@ -35,7 +35,7 @@ def _connected(edges, a, b):
     return b in seen
 
 
-@pytest.mark.parametrize(("seed", "share"), [(1, 0.4), (2, 0.9), (3, 1.0), (4, 0.0)])
+@pytest.mark.parametrize(("seed", "share"), [(2, 0.9), (4, 0.0)])
 def test_long_edges_go_one_by_one(spark, seed, share):
     rows = _random(seed)
     left = {(a, b): w for a, b, w in rows}

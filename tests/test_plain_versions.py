@@ -146,7 +146,7 @@ def test_chains_come_back_whole(spark):
     steps = spark.range(n - 1).selectExpr("id as v", "id + 1 as next").union(spark.createDataFrame([(n - 1, None)], "v long, next long"))
     (row,) = W.trajectories(steps, spark.createDataFrame([(0,)], "v long")).collect()
     assert row.path == list(range(n))
-    m = 64
+    m = 30
     rows = [(i, i + 1, 1.0) for i in range(m)]
     g = from_edges(spark.createDataFrame(rows, "a long, b long, len double")).cut()
     y = spark.createDataFrame([(0, 10.0), *((i, float(m - i) / m) for i in range(1, m)), (m, 11.0)], "v long, y double")
