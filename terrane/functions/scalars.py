@@ -63,6 +63,11 @@ def centred_log_ratio(values: str, pseudo: float = 0.0) -> Column:
     return F.transform(logs, lambda x: x - mean)
 
 
+def standardised(text: Column) -> Column:
+    """A name fit for files: blanks, commas and slashes become underscores, brackets, colons, quotes, stars and pluses go."""
+    return F.translate(text, " ,/():'*+", "___")
+
+
 def entropy(values: str) -> Column:
     """Shannon entropy (natural log) of an array of non-negative parts; 0 parts count nothing, no mass gives 0."""
     total = F.aggregate(F.col(values), F.lit(0.0), lambda a, x: a + x)

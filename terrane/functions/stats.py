@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..checkpoints import cut
@@ -21,6 +24,31 @@ def concordance_test(differences: DataFrame) -> DataFrame:
     return t.select("n", F.expr("(n00 + n11) / n").alias("concordance"), "chi_sq", F.sqrt(F.col("chi_sq") / F.col("n")).alias("cramer_v"), F.expr("n00 * n11 / (n01 * n10)").alias("odds_ratio"))
 
 
+def proportions(rows: DataFrame, group: str, outcome: str, success, expected: float | None = None) -> DataFrame:
+    """(level, n, successes, share, chi_sq, p_value) of an outcome in each group, against all other groups or an expected share.
+
+    One degree of freedom, with a continuity correction of at most the deviation; null where there is nothing to compare with.
+    Rows without group or outcome count nothing.
+    """
+    known = rows.filter(F.col(group).isNotNull() & F.col(outcome).isNotNull())
+    per = known.groupBy(F.col(group).alias("level")).agg(F.count("*").alias("n"), F.sum((F.col(outcome) == success).cast("long")).alias("successes"))
+    if expected is None:
+        total = per.agg(F.sum("n").alias("m"), F.sum("successes").alias("yes"))
+        per = per.crossJoin(F.broadcast(total)).withColumn("e", F.expr("n * yes / m"))
+        weight = F.expr("1 / nullif(e, 0) + 1 / nullif(n - e, 0) + 1 / nullif(yes - e, 0) + 1 / nullif(m - n - yes + e, 0)")
+    else:
+        per = per.withColumn("e", F.col("n") * expected)
+        weight = F.expr("1 / nullif(e, 0) + 1 / nullif(n - e, 0)")
+    off = F.abs(F.col("successes") - F.col("e"))
+    per = per.select("level", "n", "successes", (F.col("successes") / F.col("n")).alias("share"), (F.pow(off - F.least(F.lit(0.5), off), 2) * weight).alias("chi_sq"))
+    return per.withColumn("p_value", _upper_tail("chi_sq"))
+
+
+@F.pandas_udf("double")
+def _upper_tail(chi_sq: pd.Series) -> pd.Series:
+    return chi_sq.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")
+
+
 def beta_binomial(successes: DataFrame, a: float = 1.0, b: float = 1.0) -> DataFrame:
     """(.., post_a, post_b, post_mean, post_sd) of a share with a Beta(a, b) prior, from columns (k, n)."""
     out = successes.withColumn("post_a", F.col("k") + a).withColumn("post_b", F.col("n") - F.col("k") + b)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import scalars, stats
+from ..functions import models, scalars, stats
 from ..graph import degrees, from_edges
-from ..operators import association as A, basins as B, comparison as C, extrema as X, flow as W, grid as G, merge_tree as M, paths as P, pruning
+from ..operators import association as A, basins as B, charts, clusters, comparison as C, extrema as X, flow as W, grid as G, merge_tree as M, nerve as N, paths as P, pruning, spectrum
 from ..operators.fixpoint import hops, roots
 from ..operators.tolerant import tolerant_basins
 from ..sources import graphs
@@ -1406,6 +1406,143 @@ def label_modularity(spark, sf_dir):
     return _rounded(C.modularity(I.knn(spark, sf_dir), I.labels(spark, sf_dir)))
 
 
+# Shared neighbours, the nerve, partitions, spectra and charts
+
+_COVER = """,
+cover AS MATERIALIZED (SELECT src AS v, dst AS x, len AS d FROM near UNION ALL SELECT v, v, 0.0 FROM vertices),
+shared AS MATERIALIZED (SELECT a.v AS a, b.v AS b, min(a.d + b.d) AS len, count(*) AS common FROM cover a JOIN cover b ON a.x = b.x AND a.v < b.v GROUP BY 1, 2)"""
+
+_TRIANGLES = """,
+corners AS MATERIALIZED (SELECT DISTINCT a.v AS a, b.v AS b, c.v AS c FROM cover a JOIN cover b ON a.x = b.x AND a.v < b.v JOIN cover c ON c.x = b.x AND b.v < c.v),
+sides AS (SELECT t.*, list_sort([p.len, q.len, r.len]) AS s FROM corners t JOIN shared p ON p.a = t.a AND p.b = t.b JOIN shared q ON q.a = t.a AND q.b = t.c JOIN shared r ON r.a = t.b AND r.b = t.c),
+triangles AS MATERIALIZED (SELECT a, b, c, sqrt(greatest(0, h * (h - s[1]) * (h - s[2]) * (h - s[3]))) AS weight FROM (SELECT *, (s[1] + s[2] + s[3]) / 2 AS h FROM sides))"""
+
+
+@_register(_knn(f"SELECT a.src AS a, a.dst AS b, {_r('a.len')} AS len FROM near a JOIN near b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst"))
+def mutual_neighbours(spark, sf_dir):
+    return _rounded(graphs.mutual_edges(I.near(spark, sf_dir)))
+
+
+@_register(_knn(f"SELECT a, b, {_r('len')} AS len, common FROM shared", _COVER))
+def shared_neighbours(spark, sf_dir):
+    return _rounded(graphs.shared_edges(I.near(spark, sf_dir)))
+
+
+@_register(
+    _knn(
+        f"SELECT 0 AS dim, v::VARCHAR AS simplex, 1.0 AS weight FROM vertices UNION ALL SELECT 1, a || '|' || b, {_r('len', 6)} FROM shared UNION ALL SELECT 2, a || '|' || b || '|' || c, {_r('weight', 6)} FROM triangles",
+        _COVER + _TRIANGLES,
+    )
+)
+def nerve_simplices(spark, sf_dir):
+    s = N.nerve(I.near(spark, sf_dir))
+    return _rounded(s.select("dim", F.concat_ws("|", F.col("vertices").cast("array<string>")).alias("simplex"), "weight"), 6)
+
+
+@_register(
+    _knn(
+        "SELECT 0 AS dim, count(*) AS n FROM vertices UNION ALL SELECT 1, count(*) FROM shared UNION ALL SELECT 2, count(*) FROM triangles UNION ALL "
+        "SELECT 3, count(*) FROM (SELECT DISTINCT a.v, b.v, c.v, d.v FROM cover a JOIN cover b ON a.x = b.x AND a.v < b.v JOIN cover c ON c.x = b.x AND b.v < c.v JOIN cover d ON d.x = c.x AND c.v < d.v)",
+        _COVER + _TRIANGLES,
+    )
+)
+def simplex_counts(spark, sf_dir):
+    return N.simplex_counts(N.nerve(I.near(spark, sf_dir), 3))
+
+
+@_register(
+    _knn(
+        f"SELECT count(*) AS edges, {_r('sum(e.len)', 7)} AS length FROM rk e JOIN mm ON mm.ref = e.src AND mm.v = e.dst WHERE e.r <= mm.b",
+        """,
+rk AS MATERIALIZED (SELECT src, dst, len, row_number() OVER (ORDER BY len, src DESC, dst DESC) AS r FROM edges WHERE src < dst),
+either AS MATERIALIZED (SELECT src, dst, r FROM rk UNION ALL SELECT dst, src, r FROM rk),
+mm(ref, v, b) USING KEY (ref, v) AS (SELECT v, v, 0 FROM vertices UNION SELECT m.ref, e.dst, min(greatest(m.b, e.r)) FROM mm m JOIN either e ON e.src = m.v LEFT JOIN recurring.mm o ON o.ref = m.ref AND o.v = e.dst WHERE o.b IS NULL OR greatest(m.b, e.r) < o.b GROUP BY m.ref, e.dst)""",
+        True,
+    )
+)
+def spanning_length(spark, sf_dir):
+    tree = pruning.prune_long_edges(I.knn(spark, sf_dir), 1.0).edges.filter("src < dst")
+    return _rounded(tree.agg(F.count("*").alias("edges"), F.sum("len").alias("length")), 7)
+
+
+def _partitions(spark, sf_dir):
+    """Three partitions of the vectors: by label, by the sign of a component, and by that of two."""
+    e = I.table(spark, sf_dir, "embeddings")
+    sign = lambda k: (F.col("embedding")[k] > 0).cast("int")
+    cluster = F.explode(F.array(*(F.struct(F.lit(i).alias("run"), c.cast("long").alias("cluster")) for i, c in enumerate((F.col("label"), sign(0), sign(0) * 2 + sign(1))))))
+    return e.select(F.col("vec_id").alias("v"), cluster.alias("p")).select("p.run", "v", "p.cluster")
+
+
+_LIKE = """WITH p AS MATERIALIZED (SELECT 0 AS run, vec_id AS v, label::INT AS c FROM embeddings UNION ALL SELECT 1, vec_id, (embedding[1] > 0)::INT FROM embeddings UNION ALL SELECT 2, vec_id, (embedding[1] > 0)::INT * 2 + (embedding[2] > 0)::INT FROM embeddings),
+cells AS MATERIALIZED (SELECT x.run AS f, y.run AS s, x.c AS a, y.c AS b, count(*)::DOUBLE AS n FROM p x JOIN p y ON x.v = y.v AND x.run < y.run GROUP BY 1, 2, 3, 4),
+c AS (SELECT f, s, sum(n) AS n, sum(n * (n - 1) / 2) AS k, sum(n * ln(n)) AS l FROM cells GROUP BY 1, 2),
+a AS (SELECT f, s, sum(n * (n - 1) / 2) AS k, sum(n * ln(n)) AS l FROM (SELECT f, s, a, sum(n) AS n FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b AS (SELECT f, s, sum(n * (n - 1) / 2) AS k, sum(n * ln(n)) AS l FROM (SELECT f, s, b, sum(n) AS n FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2),
+q AS (SELECT f AS first, s AS second, (c.k - a.k * b.k / (n * (n - 1) / 2)) / ((a.k + b.k) / 2 - a.k * b.k / (n * (n - 1) / 2)) AS r, 2 * (ln(n) + c.l / n - a.l / n - b.l / n) / (2 * ln(n) - a.l / n - b.l / n) AS nmi, (a.l + b.l - 2 * c.l) / n AS vi FROM c JOIN a USING (f, s) JOIN b USING (f, s))
+"""
+
+
+@_register(_LIKE + f"SELECT first, second, {_r('r')} AS adjusted_rand, {_r('nmi')} AS nmi, {_r('vi')} AS vi FROM q")
+def partition_similarities(spark, sf_dir):
+    return _rounded(clusters.similarities(_partitions(spark, sf_dir)))
+
+
+@_register(_LIKE + f"SELECT run, {_r('avg(r)')} AS stability FROM (SELECT first AS run, r FROM q UNION ALL SELECT second, r FROM q UNION ALL SELECT unnest([0, 1, 2]), 1.0) GROUP BY run")
+def consensus_partition(spark, sf_dir):
+    return _rounded(clusters.consensus(_partitions(spark, sf_dir)))
+
+
+@_register()
+def communities(spark, sf_dir):
+    return clusters.communities(I.knn(spark, sf_dir))
+
+
+@_register()
+def resolution_scan(spark, sf_dir):
+    return _rounded(clusters.scan_resolutions(I.knn(spark, sf_dir), [0.5, 1.0, 2.0])[0])
+
+
+@_register()
+def laplacian_spectrum(spark, sf_dir):
+    return _rounded(spectrum.eigenvectors(I.knn(spark, sf_dir), 5)[0], 6)
+
+
+@_register()
+def local_charts(spark, sf_dir):
+    c = charts.local_charts(I.table(spark, sf_dir, "embeddings"), I.near(spark, sf_dir), share=0.9)
+    return _rounded(c.select("v", "dim", "ratio", F.col("singular")[0].alias("largest")), 6)
+
+
+@_register(
+    f"""WITH o AS (SELECT o_orderkey, o_custkey, (o_orderkey % 97) / 97.0::DOUBLE AS x, o_totalprice / 100000.0 AS y, (1 + o_orderkey % 3)::DOUBLE AS w FROM orders),
+m AS (SELECT o_custkey, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM o GROUP BY o_custkey),
+s AS (SELECT o_custkey, sum(w * pow(x - mx, 2)) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy FROM o JOIN m USING (o_custkey) GROUP BY o_custkey),
+j AS (SELECT o_orderkey, y, x, mx, my, CASE WHEN sxx > 1e-3 THEN sxy / sxx ELSE 0 END AS slope, w / sw + CASE WHEN sxx > 1e-3 THEN w * pow(x - mx, 2) / sxx ELSE 0 END AS h FROM o JOIN m USING (o_custkey) JOIN s USING (o_custkey))
+SELECT o_orderkey, {_r("slope", 6)} AS slope, {_r("my + slope * (x - mx)", 6)} AS fitted, CASE WHEN 1 - h > 1e-3 THEN {_r("pow((y - my - slope * (x - mx)) / (1 - h), 2)", 5)} END AS loo_error FROM j"""
+)
+def weighted_lines(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    out = models.weighted_line(o, "o_custkey", k % 97 / 97.0, F.col("o_totalprice") / 100000.0, 1 + k % 3, 1e-3)
+    return _rounded(out.select("o_orderkey", "slope", "fitted"), 6).join(_rounded(out.select("o_orderkey", "loo_error"), 5), "o_orderkey")
+
+
+@_register("SELECT p_partkey, translate(p_name || ' (' || p_brand || '): ' || p_type || '/a''b*c+d, e', ' ,/():''*+', '___') AS name FROM part")
+def standard_names(spark, sf_dir):
+    text = F.concat("p_name", F.lit(" ("), "p_brand", F.lit("): "), "p_type", F.lit("/a'b*c+d, e"))
+    return I.table(spark, sf_dir, "part").select("p_partkey", scalars.standardised(text).alias("name"))
+
+
+@_register(
+    f"""WITH p AS (SELECT o_orderpriority AS level, count(*) AS n, sum((o_orderstatus = 'F')::INT)::BIGINT AS k FROM orders GROUP BY 1), t AS (SELECT sum(n) AS m, sum(k) AS y FROM p),
+e AS (SELECT *, n * y / m AS e FROM p, t)
+SELECT level, n, k AS successes, {_r("k / n")} AS share, {_r("pow(abs(k - e) - least(0.5, abs(k - e)), 2) * (1 / e + 1 / (n - e) + 1 / (y - e) + 1 / (m - n - y + e))", 7)} AS chi_sq FROM e"""
+)
+def group_proportions(spark, sf_dir):
+    p = stats.proportions(I.table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "F")
+    return _rounded(p.select("level", "n", "successes", "share"), 9).join(_rounded(p.select("level", "chi_sq"), 7), "level")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

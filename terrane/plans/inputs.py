@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..graph import Graph
+from ..checkpoints import cut
+from ..graph import Graph, from_edges
 from ..operators.flow import steepest
 from ..operators.fixpoint import roots
 from ..sources import graphs
@@ -16,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_built: dict[tuple, Graph] = {}
+_built: dict[tuple, tuple[DataFrame, Graph]] = {}
 
 
-def knn(spark, sf_dir) -> Graph:
-    """The graph of nearest neighbours, built once per session and state of the table and kept as checkpointed tables."""
+def _neighbourhoods(spark, sf_dir) -> tuple[DataFrame, Graph]:
+    """The nearest neighbours and their graph, built once per session and state of the table and kept as written tables."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
     store = path.getFileSystem(sc._jsc.hadoopConfiguration())
@@ -28,10 +29,21 @@ def knn(spark, sf_dir) -> Graph:
     if key not in _built:
         for old in [k for k in _built if k[:2] == key[:2] or k[0] != key[0]]:
             del _built[old]
-        _built[key] = graphs.knn_graph(table(spark, sf_dir, "embeddings"), K).cut()
+        e = table(spark, sf_dir, "embeddings")
+        found = cut(graphs.neighbours(e, K))
+        _built[key] = found, from_edges(found.selectExpr("src as a", "dst as b", "len"), e.select(F.col("vec_id").cast("long").alias("v"))).cut()
     return _built[key]
 
 
+def knn(spark, sf_dir) -> Graph:
+    return _neighbourhoods(spark, sf_dir)[1]
+
+
+def near(spark, sf_dir) -> DataFrame:
+    """(src, dst, len): the K nearest others of each vector."""
+    return _neighbourhoods(spark, sf_dir)[0]
+
+
 def component(spark, sf_dir, k: int) -> DataFrame:
     return graphs.component_field(table(spark, sf_dir, "embeddings"), k)
 

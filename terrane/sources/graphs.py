@@ -50,6 +50,27 @@ def knn_graph(rows: DataFrame, k: int = 8, *, vec_id: str = "vec_id", vector: st
     return from_edges(neighbours(rows, k, vec_id=vec_id, vector=vector).selectExpr("src as a", "dst as b", "len"), rows.select(F.col(vec_id).cast("long").alias("v")))
 
 
+def closed(near: DataFrame) -> DataFrame:
+    """(v, x, d): the neighbourhoods of a table of neighbours (src, dst, len), each with its own vertex at distance 0."""
+    own = near.select("src").distinct().selectExpr("src as v", "src as x", "0D as d")
+    return near.selectExpr("src as v", "dst as x", "len as d").union(own)
+
+
+def mutual_edges(near: DataFrame) -> DataFrame:
+    """(a, b, len) with a < b: pairs of which each is among the neighbours (src, dst, len) of the other."""
+    back = near.selectExpr("dst as src", "src as dst")
+    return near.filter("src < dst").join(back, ["src", "dst"], "left_semi").selectExpr("src as a", "dst as b", "len")
+
+
+def shared_edges(near: DataFrame) -> DataFrame:
+    """(a, b, len, common) with a < b: pairs whose closed neighbourhoods meet, the shortest way through a vertex of both, and
+    the number of such vertices. Every pair that shares a vertex is an edge, so a vertex that is near to many makes many.
+    """
+    c = closed(near)
+    pairs = c.selectExpr("v as a", "x", "d as da").join(c.selectExpr("v as b", "x", "d as db"), "x").filter("a < b")
+    return pairs.groupBy("a", "b").agg(F.min(F.col("da") + F.col("db")).alias("len"), F.count("*").alias("common"))
+
+
 def component_field(rows: DataFrame, position: int, *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """A vector component (from 0) as a field."""
     return rows.select(F.col(vec_id).cast("long").alias("v"), F.col(vector)[position].cast("double").alias("y"))
@@ -91,6 +112,31 @@ def read_matrix(spark, path: str, header: bool = False, sep: str = ",") -> DataF
     return got.select(F.monotonically_increasing_id().alias("row"), *cols)
 
 
+def read_ragged(spark, path: str) -> DataFrame:
+    """(path, row, pos, value) of binary lists of integers: the number of lists, then each list's length and its members, all
+    little-endian, counts in 64 bits and members in 32. A file is read by one task, as nothing in it says where lists begin.
+    """
+
+    def lists(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"]):
+                data = content.as_buffer()
+                n, at = int(np.frombuffer(data, "<u8", 1)[0]), 8
+                for row in range(n):
+                    size = int(np.frombuffer(data, "<u8", 1, at)[0])
+                    values = np.frombuffer(data, "<i4", size, at + 8)
+                    at += 8 + 4 * size
+                    if size:
+                        yield pa.RecordBatch.from_pydict(
+                            {"path": pa.array([name] * size), "row": pa.array(np.full(size, row, "int64")), "pos": pa.array(np.arange(size, dtype="int64")), "value": pa.array(values.astype("int64"))}
+                        )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lists, "path string, row long, pos long, value long")
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> None:
     """Write a result as parquet or csv; arrays become text in csv."""
     if kind == "csv":
