@@ -23,6 +23,6 @@ def weighted_line(rows: DataFrame, by: str, x: Column, y: Column, w: Column, eps
     varies = F.col("sxx_") > epsilon
     both = both.withColumn("slope", F.when(varies, F.col("sxy_") / F.col("sxx_")).when(F.col("sw_") > 0, 0.0))
     both = both.withColumn("fitted", F.expr("my_ + slope * (x_ - mx_)"))
-    leverage = F.expr("w_ / sw_") + F.when(varies, F.expr("w_ * pow(x_ - mx_, 2) / sxx_")).otherwise(0.0)
+    leverage = F.expr("w_ / nullif(sw_, 0)") + F.when(varies, F.expr("w_ * pow(x_ - mx_, 2) / sxx_")).otherwise(0.0)
     error = F.when(1 - leverage > epsilon, F.pow((F.col("y_") - F.col("fitted")) / (1 - leverage), 2))
     return both.select(*(F.col(f"`{c}`") for c in rows.columns), "slope", "fitted", error.alias("loo_error"))

@@ -41,12 +41,12 @@ def proportions(rows: DataFrame, group: str, outcome: str, success, expected: fl
         weight = F.expr("1 / nullif(e, 0) + 1 / nullif(n - e, 0)")
     off = F.abs(F.col("successes") - F.col("e"))
     per = per.select("level", "n", "successes", (F.col("successes") / F.col("n")).alias("share"), (F.pow(off - F.least(F.lit(0.5), off), 2) * weight).alias("chi_sq"))
-    return per.withColumn("p_value", _upper_tail("chi_sq"))
 
+    @F.pandas_udf("double")
+    def upper_tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda c: math.erfc(math.sqrt(c / 2)), na_action="ignore")
 
-@F.pandas_udf("double")
-def _upper_tail(chi_sq: pd.Series) -> pd.Series:
-    return chi_sq.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")
+    return per.withColumn("p_value", upper_tail("chi_sq"))
 
 
 def beta_binomial(successes: DataFrame, a: float = 1.0, b: float = 1.0) -> DataFrame:
