@@ -69,8 +69,9 @@ def _densities(e: DataFrame, stat: DataFrame) -> DataFrame:
 
 def default_density(graph: Graph) -> DataFrame:
     """(v, density): one over the nearest edge's length, scaled by its largest value."""
-    d = graph.edges.groupBy(F.col("src").alias("v")).agg((1.0 / F.greatest(F.min("len"), F.lit(1e-300))).alias("d"))
-    return d.select("v", (F.col("d") / F.max("d").over(Window.partitionBy())).alias("density"))
+    d = lambda rows: rows.agg((1.0 / F.greatest(F.min("len"), F.lit(1e-300))).alias("d"))
+    top = d(graph.edges.groupBy()).withColumnRenamed("d", "top")
+    return d(graph.edges.groupBy(F.col("src").alias("v"))).crossJoin(F.broadcast(top)).select("v", (F.col("d") / F.col("top")).alias("density"))
 
 
 def next_vertex(graph: Graph, field: DataFrame, up: bool = True, modulation: str = "closest", q: float = 0.9, fallback: str = "allow_and_flag", density: DataFrame | None = None, bins: int | None = None) -> DataFrame:

@@ -59,3 +59,35 @@ def test_density_of_many_lengths_takes_no_pairs(spark):
     d = np.array([np.exp(-0.5 * ((x[i] - x) / h) ** 2).sum() for i in some])
     w = np.array([got[i] for i in some])
     assert np.allclose(w / w[0], d / d[0], rtol=1e-10, atol=0)
+
+
+def _scored(spark):
+    rng = np.random.default_rng(7)
+    at = rng.random((40, 2))
+    rows = [(i, j, float(np.hypot(*(at[i] - at[j])))) for i in range(40) for j in range(i) if np.hypot(*(at[i] - at[j])) < 0.35]
+    y = rng.random(40)
+    near = {}
+    for a, b, d in rows:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = d
+    x = np.array([d for _, _, d in rows])
+    h = 1.06 * x.std(ddof=1) * len(x) ** -0.2
+    dens = {d: np.exp(-0.5 * ((x - d) / h) ** 2).sum() for d in x}
+    rho = {v: 1 / min(n.values()) for v, n in near.items()}
+    g = from_edges(spark.createDataFrame(rows, "a long, b long, len double")).cut()
+    return g, spark.createDataFrame([(i, float(c)) for i, c in enumerate(y)], "v long, y double"), near, y, dens, rho, np.quantile(x, 0.9)
+
+
+def _best(near, y, q, score):
+    out = {}
+    for v, n in near.items():
+        up = [(-(y[u] - y[v]) * score(u, d), u) for u, d in n.items() if y[u] > y[v] and d <= q]
+        out[v] = min(up)[1] if up else None
+    return out
+
+
+def test_flow_by_density_and_length_has_no_window_over_all_vertices(spark):
+    g, field, near, y, dens, rho, q = _scored(spark)
+    got = W.next_vertex(g, field, True, "density_edgelen")
+    assert {r.v: r.next for r in got.collect()} == _best(near, y, q, lambda u, d: rho[u] * dens[d])
+    assert "Window" not in _plan(got)
+    assert max(r.density for r in W.default_density(g).collect()) == 1.0
