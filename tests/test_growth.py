@@ -91,3 +91,10 @@ def test_flow_by_density_and_length_has_no_window_over_all_vertices(spark):
     assert {r.v: r.next for r in got.collect()} == _best(near, y, q, lambda u, d: rho[u] * dens[d])
     assert "Window" not in _plan(got)
     assert max(r.density for r in W.default_density(g).collect()) == 1.0
+
+
+def test_flow_by_length_has_no_window_over_all_lengths(spark):
+    g, field, near, y, dens, _, q = _scored(spark)
+    got = W.next_vertex(g, field, True, "edgelen")
+    assert {r.v: r.next for r in got.collect()} == _best(near, y, q, lambda u, d: dens[d])
+    assert "Window" not in _plan(got)
