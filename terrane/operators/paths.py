@@ -309,14 +309,16 @@ def smooth_spurious(graph: Graph, field: DataFrame, threshold: int = 2, method:
 
 def constrained_flow(graph: Graph, core: Graph, field: DataFrame, reach: float) -> DataFrame:
     """(v, next): the best strict gain among vertices that a shortest path in the core graph of length up to `reach` leads to
-    with values that never fall; ties to the nearer, then the smaller vertex."""
-    up = monotone_edges(core, field)
-    starts = graph.vertices.select(F.col("v").alias("ref"), "v")
-    whole = distances(core.edges, starts, reach=reach).select("ref", "v", "dist")
-    rising = distances(up, starts, reach=reach).select("ref", "v", F.col("dist").alias("rise"))
-    ok = whole.join(rising, ["ref", "v"]).filter("ref <> v and rise <= dist + 1e-12").join(field, "v")
-    best = ok.groupBy(F.col("ref").alias("v")).agg(F.min(F.struct((-F.col("y")).alias("s"), "dist", "v")).alias("b"))
-    return graph.vertices.join(best, "v", "left").select("v", F.col("b.v").alias("next"))
+    with values that rise at every step; ties to the nearer, then the smaller vertex.
+
+    Takes the distances from every vertex: in a task those from a block of vertices, in arrays beside all edges.
+    """
+    from .dense import best_on_rising_shortest
+
+    ends = core.edges.select(F.col("src").alias("v")).union(core.edges.select("dst"))
+    nodes = graph.vertices.select("v").union(core.vertices.select("v")).union(ends).distinct().join(field.select("v", "y"), "v", "left")
+    best = best_on_rising_shortest(graph.vertices, nodes, core.edges, reach)
+    return graph.vertices.join(best, "v", "left").select("v", "next")
 
 
 def scale_flow(graph: Graph, field: DataFrame, scale: float, up: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from terrane.graph import from_edges
-from terrane.operators import flow as W
+from terrane.operators import extrema as X, flow as W, paths as P
 from terrane.sources import graphs
 
 
@@ -98,3 +98,69 @@ def test_flow_by_length_has_no_window_over_all_lengths(spark):
     got = W.next_vertex(g, field, True, "edgelen")
     assert {r.v: r.next for r in got.collect()} == _best(near, y, q, lambda u, d: dens[d])
     assert "Window" not in _plan(got)
+
+
+def _rows_written(monkeypatch):
+    """Rows of each table that searches write between rounds."""
+    from terrane.operators import extrema, fixpoint, paths
+
+    sizes, real = [], fixpoint.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    for module in (extrema, fixpoint, paths):
+        monkeypatch.setattr(module, "cut", counted)
+    return sizes
+
+
+def _points(spark, n, seed, k=6):
+    """A graph of random points with few, often equal values: (graph, field, adjacency, values)."""
+    rng = np.random.default_rng(seed)
+    at, y = rng.random((n, 3)), rng.integers(0, n // 3, n) / 8.0
+    near = {i: {} for i in range(n)}
+    for i in range(n):
+        d = np.sqrt(((at - at[i]) ** 2).sum(axis=1))
+        for j in np.argsort(d)[1 : k + 1]:
+            near[i][int(j)] = near[int(j)][i] = round(float(d[j]) * 1024) / 1024  # sums are exact in any order
+    rows = [(a, b, w) for a in near for b, w in near[a].items() if a < b]
+    return from_edges(spark.createDataFrame(rows, "a long, b long, len double")).cut(), spark.createDataFrame([(i, float(c)) for i, c in enumerate(y)], "v long, y double"), near, y
+
+
+def _shortest(near, v):
+    import heapq
+
+    dist, heap = {v: 0.0}, [(0.0, v)]
+    while heap:
+        d, a = heapq.heappop(heap)
+        if d == dist[a]:
+            for b, w in near[a].items():
+                if d + w < dist.get(b, float("inf")):
+                    dist[b] = d + w
+                    heapq.heappush(heap, (d + w, b))
+    return dist
+
+
+def test_constrained_flow_over_a_whole_graph_writes_no_pairs(spark, monkeypatch):
+    n = 400
+    g, field, near, y = _points(spark, n, 1)
+    rising = {a: {b: w for b, w in near[a].items() if y[b] > y[a]} for a in near}
+    want = {}
+    for reach in (float("inf"), 0.4):
+        for v in near:
+            d, rise = _shortest(near, v), _shortest(rising, v)
+            ok = [(-y[u], d[u], u) for u in rise if u != v and rise[u] <= d[u] + 1e-12 and rise[u] <= reach]
+            want[reach, v] = min(ok)[2] if ok else None
+    sizes = _rows_written(monkeypatch)
+    got = {(reach, r.v): r.next for reach in (float("inf"), 0.4) for r in P.constrained_flow(g, g, field, reach).collect()}
+    assert got == want and max(sizes, default=0) <= 20 * n
+
+
+def test_constrained_flow_of_odd_vertices(spark):
+    """Vertices outside the core graph and without a value go nowhere, and nothing goes to the latter."""
+    core = from_edges(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "a long, b long, len double"))
+    whole = from_edges(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)], "a long, b long, len double"))
+    field = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None), (4, 9.0)], "v long, y double")
+    assert {r.v: r.next for r in P.constrained_flow(whole, core, field, 10.0).collect()} == {1: 2, 2: None, 3: None, 4: None}
