@@ -322,12 +322,27 @@ def constrained_flow(graph: Graph, core: Graph, field: DataFrame, reach: float)
 
 
 def scale_flow(graph: Graph, field: DataFrame, scale: float, up: bool = True) -> DataFrame:
-    """(v, next): the vertex of best value within a distance `scale` if it improves on v's own, ties to the nearer, then smaller."""
-    starts = graph.vertices.select(F.col("v").alias("ref"), "v")
-    near = distances(graph.edges, starts, reach=scale).join(field, "v").join(field.select(F.col("v").alias("ref"), F.col("y").alias("own")), "ref")
-    gain = F.col("y") - F.col("own") if up else F.col("own") - F.col("y")
-    best = near.filter(gain > 0).groupBy(F.col("ref").alias("v")).agg(F.min(F.struct((-gain).alias("s"), "dist", "v")).alias("b"))
-    return graph.vertices.join(best, "v", "left").select("v", F.col("b.v").alias("next"))
+    """(v, next): the vertex of best value within a distance `scale` if it improves on v's own, ties to the nearer, then smaller.
+
+    Vertices u travel outwards; of those that reach a vertex only they go on that no u of better value (or of equal value and
+    smaller id) reaches as near, which is some log n of them a vertex: what such a better one reaches, it reaches as near.
+    """
+    value = F.col("y") if up else -F.col("y")
+    best = cut(graph.vertices.select("v").join(field, "v").filter("y is not null").select("v", F.col("v").alias("u"), value.alias("y"), F.lit(0.0).alias("dist")))
+    front = best
+    before = Window.partitionBy("v").orderBy("dist", F.desc("y"), "u", "new").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        out = front.join(graph.edges, front.v == graph.edges.src).select(F.col("dst").alias("v"), "u", "y", (F.col("dist") + F.col("len")).alias("dist"))
+        out = out.filter(F.col("dist") <= scale).groupBy("v", "u", "y").agg(F.min("dist").alias("dist"))
+        every = best.withColumn("new", F.lit(False)).union(out.withColumn("new", F.lit(True)))
+        rank = F.struct("y", -F.col("u"))
+        after = cut(every.withColumn("rank", rank).withColumn("above", F.max("rank").over(before)).filter("above is null or rank > above").drop("rank", "above"))
+        front, best = after.filter("new").drop("new"), after.drop("new")
+        if front.isEmpty():
+            break
+    own = field.select("v", value.alias("own"))
+    best = best.join(own, "v").filter("y > own").groupBy("v").agg(F.min(F.struct((-F.col("y")).alias("s"), "dist", "u")).alias("b"))
+    return graph.vertices.join(best, "v", "left").select("v", F.col("b.u").alias("next"))
 
 
 def cell_path(up: DataFrame, down: DataFrame, v: int) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from terrane.graph import from_edges
-from terrane.operators import extrema as X, flow as W, paths as P
+from terrane.operators import extrema as X, flow as W, nerve as N, paths as P
 from terrane.sources import graphs
 
 
@@ -164,3 +164,16 @@ def test_constrained_flow_of_odd_vertices(spark):
     whole = from_edges(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)], "a long, b long, len double"))
     field = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None), (4, 9.0)], "v long, y double")
     assert {r.v: r.next for r in P.constrained_flow(whole, core, field, 10.0).collect()} == {1: 2, 2: None, 3: None, 4: None}
+
+
+def test_scale_flow_over_a_whole_graph_writes_no_pairs(spark, monkeypatch):
+    n = 400
+    g, field, near, y = _points(spark, n, 2)
+    sizes = _rows_written(monkeypatch)
+    for scale, sign in ((float("inf"), 1), (0.4, 1), (0.4, -1)):
+        want = {}
+        for v in near:
+            ok = [(-sign * y[u], d, u) for u, d in _shortest(near, v).items() if d <= scale and sign * y[u] > sign * y[v]]
+            want[v] = min(ok)[2] if ok else None
+        assert {r.v: r.next for r in P.scale_flow(g, field, scale, sign > 0).collect()} == want
+    assert max(sizes) <= 20 * n
