@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,26 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(run: Callable) -> Callable:
+    """A function of batches that, at its end, gives memory that it has freed back to the system: workers are kept for later tasks,
+    also of other operators, and what their allocators hold counts against the executor."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def unused(columns, name: str) -> str:
     """A column name that none of the columns has, in whatever case."""
     taken = {c.lower() for c in columns}

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import unused
+from .common import lean, unused
 
 #: The bounded sample that a dictionary is made of: rows of each language, in hash order, and bytes of their text.
 _ROWS, _BYTES = 128, 1 << 16
@@ -105,18 +105,21 @@ def identify(docs: DataFrame, models: list[tuple[str, bytes]], *, text: str = "t
     added = [c for c in (lang_to, score_to, rejected_to) if c is not None]
     keep = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
     body = unused([*docs.columns, *added], "text")
-    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias(body))
-    more = [T.StructField(lang_to, T.StringType()), T.StructField(score_to, T.DoubleType()), *[T.StructField(rejected_to, T.BooleanType())][: rejected_to is not None]]
-    schema = T.StructType([*src.schema.fields[:-1], *more])
+    # A text that is a string and stays is not sent twice.
+    sent = text in keep and docs.schema[text].dataType == T.StringType()
+    at = keep.index(text) if sent else len(keep)
+    src = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if sent else [F.col(text).cast("string").alias(body)]))
+    more = [T.StructField(c, t) for c, t in ((lang_to, T.StringType()), (score_to, T.DoubleType()), (rejected_to, T.BooleanType())) if c is not None]
+    schema = T.StructType([*src.schema.fields[: len(keep)], *more])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = [predict(x.as_py(), fixed) for x in batch.column(len(keep))]
+            got = [predict(x.as_py(), fixed) for x in batch.column(at)]
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             if rejected_to is not None:
                 cols.append(pa.array([g[0] == "und" or g[1] < least for g in got], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*keep, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *added])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import lean, written
 from .tokens import encoder
 
 _MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
@@ -146,7 +146,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, *, doc_id: str = "doc_id",
             share = F.coalesce(F.pmod(F.xxhash64(F.lit(salt), "sequence_id"), tasks), share)
         return written(left.withColumn("share", share).groupBy("node", "share").applyInArrow(node, _BINS), "bins"), 0 in many
 
-    bins = written(src.mapInArrow(local, _BINS), "bins")
+    bins = written(src.mapInArrow(lean(local), _BINS), "bins")
     finals = [bins.filter("done")]
     left = bins.filter("not done")
     last = bins.agg(F.max("node")).first()[0] or 0

@@ -14,6 +14,8 @@ from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import lean
+
 #: The base patterns, with the length that a match must have at least.
 _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -387,4 +389,4 @@ def mask_secrets(docs: DataFrame, *, text: str = "text", n_chars: str | None = "
                 columns[count] = pa.array(sizes, batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import lean, written
 from .components import connected_components
 
 #: Bits of the five segments, from the lowest bit up.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 fp = _majority(np.concatenate(hashes), np.array(sizes, "int64"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view("int64"), pa.int64())], names=["doc_id", "fp"])
 
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _hashes(text: str | None, words: int):
