@@ -26,19 +26,23 @@ _PIECES = {
 }
 
 
+#: Pieces whose ids a worker keeps, about 230 bytes each.
+_MOST = {"bytes": 150_000, "words": 500_000}
+
+
 class _Known(dict):
-    """Ids, as bytes, of the pieces met so far: words repeat. Beyond MOST pieces it starts anew; LONGEST characters are held."""
+    """Ids, as bytes, of the pieces met so far: words repeat. Beyond `most` pieces it starts anew; LONGEST characters are held."""
 
-    MOST, LONGEST = 150_000, 48
+    LONGEST = 48
 
-    def __init__(self, encode):
+    def __init__(self, encode, most):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, piece):
         ids = self.encode(piece)
         if len(piece) <= self.LONGEST:
-            if len(self) >= self.MOST:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
@@ -71,7 +75,13 @@ def encoder(path: str, style: str):
         added = [re.escape(x["content"]) for x in json.load(f)["added_tokens"]]
     other, holds = _OTHER[style].search, re.compile("|".join(added) or r"(?!)").search
     pieces, lower, stand_in, tokenize = _PIECES[style], style == "words", _char_of_byte(), tok.model.tokenize
-    known = _Known(lambda piece: array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(stand_in))]).tobytes())
+
+    def ids_of(piece):
+        # Printable ASCII but the blank stands for itself.
+        own = piece if piece.isascii() and piece.isprintable() and " " not in piece else piece.encode().decode("latin-1").translate(stand_in)
+        return array("I", [t.id for t in tokenize(own)]).tobytes()
+
+    known = _Known(ids_of, _MOST[style])
 
     def encode(text: str):
         if other(text) or holds(text):

@@ -28,6 +28,7 @@ def build(ids, keys, lengths) -> list[bytes]:
     """The parts of a file over ids (numpy uint32) of documents with these keys and lengths, in this order."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -41,18 +42,19 @@ def build(ids, keys, lengths) -> list[bytes]:
     planes, body, at = [], [], 0
     for b in range(bits - 1, -1, -1):
         ones = (row & row.dtype.type(1 << b)) != 0
+        packed = np.packbits(ones, bitorder="little").tobytes()
         places, before, seen = [], [], 0
         for s in range(0, len(row), _CHUNK):
-            part = ones[s : s + _CHUNK]
             places.append(at)
             before.append(seen)
-            seen += int(np.count_nonzero(part))
-            body.append(pack(np.packbits(part, bitorder="little").tobytes()))
+            seen += int(np.count_nonzero(ones[s : s + _CHUNK]))
+            body.append(pack(packed[s // 8 : (s + _CHUNK) // 8]))
             at += len(body[-1])
         places.append(at)
         planes.append({"zeros": len(row) - seen, "places": places, "ones_before": before})
         if b:
-            row = np.concatenate([np.compress(~ones, row), np.compress(ones, row)])
+            up = pa.BooleanArray.from_buffers(pa.bool_(), len(row), [None, pa.py_buffer(packed)])
+            row = np.concatenate([pc.filter(pa.array(row), keep).to_numpy() for keep in (pc.invert(up), up)])
     head = json.dumps({"n": len(ids), "bits": bits, "chunk": _CHUNK, "docs": len(docs), "planes": planes}, separators=(",", ":")).encode()
     return [_MAGIC, len(head).to_bytes(4, "little"), head, docs, *body]
 
@@ -171,8 +173,8 @@ class WaveletFile:
             places = self.head["planes"][p]["places"]
             self.file.seek(self.base + places[0])
             raw = self.file.read(places[-1] - places[0])
-            bits = [np.unpackbits(np.frombuffer(expand(raw[a - places[0] : b - places[0]]), "u1"), bitorder="little") for a, b in zip(places, places[1:])]
-            ones = (np.concatenate(bits)[: self.n] if bits else np.empty(0, "u1")).astype(bool)
+            bits = b"".join(expand(raw[a - places[0] : b - places[0]]) for a, b in zip(places, places[1:]))
+            ones = np.unpackbits(np.frombuffer(bits, "u1"), count=self.n, bitorder="little").view(bool)
             zeros, up = self.head["planes"][p]["zeros"], np.empty_like(out)
             up[~ones] = out[:zeros]
             up[ones] = out[zeros:] | out.dtype.type(1 << (self.bits - 1 - p))
