@@ -15,13 +15,15 @@ import json
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fresh_path, open_store, shared_dir, write_bytes, written
+from .common import fresh_path, lean, open_store, shared_dir, write_bytes, written
 from .tokens import encoder
 
 _CHUNK = 1 << 18
 _MAGIC = b"WMX1"
 #: Ids in a shard before the next one is begun; a longer document still goes whole into one shard.
 _SHARD = 1 << 22
+#: Ids that a reading task gets at least, on average, where there are many small shards.
+_READ = 1 << 20
 
 
 def build(ids, keys, lengths) -> list[bytes]:
@@ -190,6 +192,10 @@ def write_token_shards(docs: DataFrame, vocab_path: str, *, doc_id: str = "doc_i
     Rows are dealt by ranges of doc_id, so files of a task follow one another and tasks do too; file names are
     unique and the returned table names those of the attempts that counted. Null text: only the end id. A null
     doc_id comes first. Repeated rows are stored as often as they occur. No rows, no files.
+
+    The table of shards is numbered by one task, which also writes it: a part of it from every task would be a file of
+    a few hundred bytes each, and for each file and folder on a local store the executor's JVM starts `chmod`, which
+    counts with all memory of the JVM until it runs.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
@@ -227,10 +233,10 @@ def write_token_shards(docs: DataFrame, vocab_path: str, *, doc_id: str = "doc_i
         if keys:
             yield flush()
 
-    files = written(src.mapInArrow(write, "part long, number long, path string, n_docs long, n_tokens long"), "shards")
+    files = src.mapInArrow(lean(write), "part long, number long, path string, n_docs long, n_tokens long")
     order = Window.orderBy("part", "number")
     before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.select((F.row_number().over(order) - 1).cast("long").alias("shard"), "path", "n_docs", "n_tokens", before.cast("long").alias("first_token"))
+    return written(files.select((F.row_number().over(order) - 1).cast("long").alias("shard"), "path", "n_docs", "n_tokens", before.cast("long").alias("first_token")), "shards")
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
@@ -257,5 +263,6 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
 
     spark = shards.sparkSession
     shared_dir(spark)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return shards.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    ids = shards.agg(F.sum("n_tokens")).first()[0] or 0
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids // _READ)))
+    return shards.repartition(n).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
