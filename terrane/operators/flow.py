@@ -11,6 +11,9 @@ from ..graph import Graph
 from .extrema import edge_length_quantile, edge_values, strict_extrema
 from .fixpoint import components, jumps, roots, walked, walks
 
+#: Cells of lengths (216 bytes each) that are broadcast at most.
+_CELLS = 1 << 15
+
 
 def length_weight(graph: Graph, bandwidth: float = -1.0, bins: int | None = None) -> DataFrame:
     """(src, dst, w): Gaussian density of undirected edge lengths at each edge, over its largest value.
@@ -58,9 +61,12 @@ def _densities(e: DataFrame, stat: DataFrame) -> DataFrame:
     near = at.withColumn("s", (F.col("len") - middle("cell")) / F.col("h"))
     for k in range(powers):
         near = near.withColumn(f"p{k}", F.col("c") * F.exp(-0.5 * F.col("s") * F.col("s")) if k == 0 else F.pow("s", F.lit(float(k))) * F.col("p0") / F.lit(float(factorial(k))))
-    cells = near.groupBy("cell").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(powers)))
+    cells = cut(near.groupBy(F.col("cell").alias("other")).agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(powers))))
+    # Spark takes the size of ask for that of at, 25 times too small, and would broadcast it. Of the default bandwidth there are
+    # under 3 m^0.47 cells that hold a length.
+    cells = F.broadcast(cells) if cells.count() <= _CELLS else cells.hint("merge")
     ask = at.withColumn("other", F.explode(F.sequence(F.col("cell") - reach, F.col("cell") + reach)))
-    ask = ask.join(cells.withColumnRenamed("cell", "other"), "other").withColumn("t", (F.col("len") - middle("other")) / F.col("h"))
+    ask = ask.join(cells, "other").withColumn("t", (F.col("len") - middle("other")) / F.col("h"))
     series = F.col(f"p{powers - 1}")
     for k in reversed(range(powers - 1)):
         series = series * F.col("t") + F.col(f"p{k}")

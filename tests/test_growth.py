@@ -91,6 +91,23 @@ def test_density_of_many_lengths_takes_no_pairs(spark):
     assert np.allclose(w / w[0], d / d[0], rtol=1e-10, atol=0)
 
 
+def test_density_of_lengths_broadcasts_no_lengths(spark, monkeypatch):
+    """Lengths times cells are 500,000 rows here, which Spark takes for as few bytes as the lengths."""
+    m = 20_000
+    x = np.random.default_rng(10).gamma(4.0, 1.0, m)
+    g = from_edges(spark.createDataFrame(pd.DataFrame({"a": 2 * np.arange(m), "b": 2 * np.arange(m) + 1, "len": x}))).cut()
+    plans, real = [], W.cut
+    monkeypatch.setattr(W, "cut", lambda df: (plans.append(_plan(df)), real(df))[1])
+    some = list(range(0, m, 500))
+    for most in (W._CELLS, 0):
+        monkeypatch.setattr(W, "_CELLS", most)
+        got = {r.src // 2: r.w for r in W.length_weight(g).filter("src < dst and src % 1000 = 0").collect()}
+        h = 1.06 * x.std(ddof=1) * m**-0.2
+        d = np.array([np.exp(-0.5 * ((x[i] - x) / h) ** 2).sum() for i in some])
+        assert np.allclose([got[i] / got[0] for i in some], d / d[0], rtol=1e-10, atol=0)
+    assert not [p for p in plans if "Generate" in p and "BuildLeft" in p]
+
+
 def _scored(spark):
     rng = np.random.default_rng(7)
     at = rng.random((40, 2))
