@@ -147,6 +147,23 @@ def test_flow_by_length_has_no_window_over_all_lengths(spark):
     assert "Window" not in _plan(got)
 
 
+def _flow_of_pairs(spark, monkeypatch, modulation):
+    """The flow of 20,000 pairs upwards is right, and the plans of what it writes, and its own, broadcast no lengths times cells."""
+    m = 20_000
+    x = np.random.default_rng(11).gamma(4.0, 1.0, m)
+    g = from_edges(spark.createDataFrame(pd.DataFrame({"a": 2 * np.arange(m), "b": 2 * np.arange(m) + 1, "len": x}))).cut()
+    plans, real = [], W.cut
+    monkeypatch.setattr(W, "cut", lambda df: (plans.append(_plan(df)), real(df))[1])
+    flow = W.next_vertex(g, g.vertices.selectExpr("v", "cast(v as double) as y"), True, modulation)
+    short = x <= np.quantile(x, 0.9)
+    assert {r.v: r.next for r in flow.collect()} == {2 * i: 2 * i + 1 if short[i] else None for i in range(m)} | {2 * i + 1: None for i in range(m)}
+    assert not [p for p in [*plans, _plan(flow)] if "Generate" in p and "BuildLeft" in p]
+
+
+def test_flow_by_density_and_length_broadcasts_no_lengths(spark, monkeypatch):
+    _flow_of_pairs(spark, monkeypatch, "density_edgelen")
+
+
 def _rows_written(monkeypatch):
     """Rows of each table that searches write between rounds."""
     from terrane.operators import extrema, fixpoint, paths
