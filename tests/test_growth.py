@@ -164,6 +164,10 @@ def test_flow_by_density_and_length_broadcasts_no_lengths(spark, monkeypatch):
     _flow_of_pairs(spark, monkeypatch, "density_edgelen")
 
 
+def test_flow_by_length_broadcasts_no_lengths(spark, monkeypatch):
+    _flow_of_pairs(spark, monkeypatch, "edgelen")
+
+
 def _rows_written(monkeypatch):
     """Rows of each table that searches write between rounds."""
     from terrane.operators import extrema, fixpoint, paths
