@@ -311,7 +311,7 @@ def constrained_flow(graph: Graph, core: Graph, field: DataFrame, reach: float)
     """(v, next): the best strict gain among vertices that a shortest path in the core graph of length up to `reach` leads to
     with values that rise at every step; ties to the nearer, then the smaller vertex.
 
-    Takes the distances from every vertex: in a task those from a block of vertices, in arrays beside all edges.
+    Searches from every vertex: in a task from a block of vertices, in arrays beside all edges.
     """
     from .dense import best_on_rising_shortest
 

@@ -226,6 +226,36 @@ def test_constrained_flow_over_a_whole_graph_writes_no_pairs(spark, monkeypatch)
     assert got == want and max(sizes, default=0) <= 20 * n
 
 
+def test_constrained_flow_searches_no_whole_graph_from_every_vertex(spark):
+    """Every vertex's distances to all others are 2e8 here."""
+    m = 24
+    n, rng = m**3, np.random.default_rng(12)
+    at = np.arange(n).reshape(m, m, m)
+    a, b = (np.concatenate([np.delete(at, k, axis=axis).ravel() for axis in range(3)]) for k in (m - 1, 0))
+    w = rng.integers(512, 1024, len(a)) / 1024  # sums are exact in any order
+    y = rng.permutation(n) / 8.0
+    g = from_edges(spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "len": w}))).cut()
+    began = time.time()
+    got = {r.v: r.next for r in P.constrained_flow(g, g, spark.createDataFrame(pd.DataFrame({"v": np.arange(n), "y": y})), float("inf")).collect()}
+    assert time.time() - began < 40
+    near = {v: {} for v in range(n)}
+    for i, j, d in zip(a.tolist(), b.tolist(), w.tolist()):
+        near[i][j] = near[j][i] = d
+    rising = {i: {j: d for j, d in x.items() if y[j] > y[i]} for i, x in near.items()}
+    for v in range(0, n, 300):
+        d, rise = _shortest(near, v), _shortest(rising, v)
+        ok = [(-y[u], d[u], u) for u in rise if u != v and rise[u] <= d[u] + 1e-12]
+        assert got[v] == (min(ok)[2] if ok else None)
+
+
+def test_constrained_flow_along_ways_far_beyond_their_ends_surroundings(spark):
+    """A ring that rises all along: half of it is a shortest way."""
+    n = 1200
+    g = from_edges(spark.createDataFrame([(i, (i + 1) % n, 1.0) for i in range(n)], "a long, b long, len double"))
+    got = {r.v: r.next for r in P.constrained_flow(g, g, g.vertices.selectExpr("v", "cast(v as double) as y"), float("inf")).collect()}
+    assert got == {v: min(n - 1, v + n // 2) for v in range(1, n - 1)} | {0: n - 1, n - 1: None}
+
+
 def test_constrained_flow_of_odd_vertices(spark):
     """Vertices outside the core graph and without a value go nowhere, and nothing goes to the latter."""
     core = from_edges(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "a long, b long, len double"))
